@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, mixing, packing, warc
+from . import fertility, jaccard, mixing, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir), copy="copy")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_pairs(_docs(spark, sf_dir))
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(_docs(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Query]:
     return {
         "op5_warc": op5_warc,
         "op6_mixing": op6_mixing,
+        "op8_jaccard": op8_jaccard,
         "op9_fertility": op9_fertility,
         "op10_packing": op10_packing,
     }

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII bytes that are neither letters nor digits
+SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -40,12 +42,22 @@ def _doc_starts(offsets: np.ndarray, size: int) -> np.ndarray:
     return marks[(marks < size) & (offsets[1:] > marks)]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each run of bytes without ASCII white space."""
+def lower(buf: np.ndarray) -> np.ndarray:
+    """The text with ASCII and Latin-1 capitals made small."""
+    out = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * 32
+    if len(buf) > 1:
+        after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        x = out[after]
+        out[after] = np.where((x >= 0x80) & (x <= 0x9E) & (x != 0x97), x + 32, x)
+    return out
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of bytes without separators (ASCII white space)."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ws = _WS[buf]
+    ws = separators[buf]
     start = ~ws
     start[1:] &= ws[:-1]
     heads = _doc_starts(offsets, len(buf))
