@@ -103,7 +103,8 @@ def _sketch(docs: DataFrame, text: str, doc_id: str, n: int, hashes: int, full:
                     continue
                 ends = np.append(ends[some], ends[-1])
                 mixed = tk.mix(grams + np.uint64(1))
-                data, at = (grams, ends * 8) if full else _bitmaps(grams, ends)
+                # grams have 48 bits, so six bytes are shipped
+                data, at = (grams.view(np.uint8).reshape(-1, 8)[:, :6], ends * 6) if full else _bitmaps(grams, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).take(pa.array(some)),
@@ -257,11 +258,17 @@ def _settle(shipped: DataFrame, t: float, hashes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, 0):
+            tile, size, doc, sig = (batch.column(k).to_numpy() for k in (0, 1, 2, 7))
+            once = np.concatenate([[True], (tile[1:] != tile[:-1]) | (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
+            if not once.all():  # a repeated row of one id and text
+                batch = batch.filter(pa.array(once))
             tile, size, doc, nth = (batch.column(k).to_numpy() for k in range(4))
             size = size.astype(np.int64)
             minima = np.frombuffer(_bytes_of(batch.column(4))[0].tobytes(), np.uint64).reshape(-1, hashes)
             raw, at = _bytes_of(batch.column(5))
-            grams, at = np.frombuffer(raw.tobytes(), np.uint64), at // 8
+            six = np.zeros((len(raw) // 6, 8), np.uint8)
+            six[:, :6] = raw.reshape(-1, 6)
+            grams, at = six.reshape(-1).view(np.uint64), at // 6
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for left, right in _band_pairs(np.searchsorted(tile, tile, "right"), size, t):
                 ok = _first_meeting(minima, left, right, nth)
@@ -287,7 +294,7 @@ def _settle(shipped: DataFrame, t: float, hashes: int) -> DataFrame:
                     x, y = pa.array(a[p : p + 50_000]), pa.array(b[p : p + 50_000])
                     yield pa.RecordBatch.from_arrays([batch.column(2).take(x), batch.column(2).take(y), pa.array(jac[p : p + 50_000]), batch.column(6).take(x), batch.column(6).take(y)], names=names)
 
-    picked = shipped.select("tile", "size", "doc_id", "nth", "minima", "data", "members").repartition("tile").sortWithinPartitions("tile", "size", "doc_id")
+    picked = shipped.select("tile", "size", "doc_id", "nth", "minima", "data", "members", "sig").repartition("tile").sortWithinPartitions("tile", "size", "doc_id", "sig")
     return picked.mapInArrow(run, PAIR_SCHEMA)
 
 
@@ -318,7 +325,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: i
     near = own.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     grams = _sketch(near, "text", "doc_id", n, hashes, True)
     mates = keys.groupBy("doc_id", "sig", "sig2").agg(F.collect_list(F.struct("tile", "nth", "members")).alias("at"))
-    shipped = grams.join(F.broadcast(mates) if few else mates, ["doc_id", "sig", "sig2"]).select("doc_id", "size", "minima", "data", F.explode("at").alias("x")).select("doc_id", "size", "minima", "data", "x.*").dropDuplicates(["tile", "doc_id"])
+    shipped = grams.join(F.broadcast(mates) if few else mates, ["doc_id", "sig", "sig2"]).select("doc_id", "sig", "size", "minima", "data", F.explode("at").alias("x")).select("doc_id", "sig", "size", "minima", "data", "x.*")
     groups = found.where("tile IS NULL").select("doc_id", F.col("members")[1].alias("near_id"), F.lit(1.0).alias("jaccard"), F.col("members").alias("docs"), F.col("members").alias("near_docs"))
     return _settle(shipped, threshold, hashes).unionByName(groups)
 
