@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, jaccard, lm, mixing, packing, substring, warc
+from . import fertility, jaccard, lm, mixing, packing, spm, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir), copy="copy")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_pieces(_docs(spark, sf_dir))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(_docs(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op4_substring": op4_substring,
         "op5_warc": op5_warc,
         "op6_mixing": op6_mixing,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_jaccard": op8_jaccard,
         "op9_fertility": op9_fertility,
         "op10_packing": op10_packing,
