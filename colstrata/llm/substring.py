@@ -149,46 +149,55 @@ def maximal_repeats(fm: FMIndex, text: np.ndarray, a: np.ndarray, b: np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, e = a[idx], b[idx] - 1
     p, lo, hi = e.copy(), np.full(len(a), lo0), np.full(len(a), hi0)
-    wall, stop, width = np.full(len(a), -1), e.copy(), np.zeros(len(a), np.int64)
+    # a search for the least end that makes a string from the wall unique: beyond `near`, at `stop` at most
+    wall, near, stop = np.full(len(a), -1), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     starts, ends = [], []
-    live = np.arange(len(a))
-    while len(live):
-        l2, h2 = fm.step(text[p[live]].astype(np.int64), lo[live], hi[live])
-        ok = h2 - l2 >= 2
-        lo[live], hi[live] = l2, h2
-        # a jump to a nearer end holds only if it dies before passing the wall
-        over = ok & (width[live] > 0) & (p[live] == wall[live])
-        p[live[ok]] -= 1
-        done = ok & (p[live] < a[live])
-        hit = (done | ~ok) & ~over & (e[live] - p[live] >= length)
-        if hit.any():
-            x = live[hit]
-            starts.append(p[x] + 1)
-            ends.append(e[x] + 1)
-        restart = np.zeros(len(a), bool)
-        x = live[over]
+    while len(a):
+        lo, hi = fm.step(text[p].astype(np.int64), lo, hi)
+        ok = hi - lo >= 2
+        probing = wall >= 0
+        through = ok & probing & (p == wall)
+        died = ~ok
+        at_end = ok & (p == a)
+        hit = np.flatnonzero((at_end | died) & ~probing & (e - p + ok >= length))
+        if len(hit):
+            starts.append(p[hit] + died[hit])
+            ends.append(e[hit] + 1)
+        again = np.zeros(len(a), bool)
+        x = np.flatnonzero(through)
         if len(x):
-            width[x] = 2 * width[x] + 1
-            near = np.maximum(wall[x] + width[x], a[x] + length - 1)
-            far = near >= stop[x]
-            e[x] = np.where(far, stop[x] - 1, near)
-            width[x[far]] = 0
-            restart[x] = True
-        x = live[~ok]
+            near[x] = e[x]
+            done = stop[x] - near[x] <= 1
+            # the string of this end goes on to the left as it is
+            wall[x[done]] = -1
+            late = x[done & (p[x] == a[x]) & (e[x] - p[x] + 1 >= length)]
+            if len(late):
+                starts.append(p[late])
+                ends.append(e[late] + 1)
+            y = x[~done]
+            e[y] = (near[y] + stop[y]) // 2
+            again[y] = True
+        x = np.flatnonzero(died)
         if len(x):
-            jump = (e[x] - p[x] > 8) & (np.maximum(p[x] + 7, a[x] + length - 1) < e[x] - 1)
-            y, z = x[jump], x[~jump]
-            wall[y], stop[y], width[y] = p[y], e[y], 7
-            e[y] = np.maximum(p[y] + 7, a[y] + length - 1)
-            width[z] = 0
-            e[z] -= 1
-            restart[x] = True
-        finished = np.zeros(len(a), bool)
-        finished[live[done & ~over]] = True
-        finished |= e < a + length - 1
-        r = np.flatnonzero(restart & ~finished)
-        p[r], lo[r], hi[r] = e[r], lo0, hi0
-        live = live[~finished[live]]
+            again[x] = True
+            fresh = wall[x] < 0
+            short = x[fresh & (e[x] - p[x] <= 8)]
+            e[short] -= 1
+            y = x[fresh & (e[x] - p[x] > 8)]
+            wall[y], near[y], stop[y] = p[y], p[y] - 1, np.minimum(e[y], p[y] + length)
+            z = x[~fresh]
+            stop[z] = e[z]
+            y = np.concatenate([y, z])
+            found = stop[y] - near[y] <= 1
+            f, g = y[found], y[~found]
+            e[f], wall[f] = near[f], -1
+            e[g] = np.where(near[g] < wall[g], np.minimum(wall[g] + 7, (wall[g] + stop[g]) // 2), (near[g] + stop[g]) // 2)
+        over = (at_end & ~again) | (np.where(wall >= 0, stop, e + 1) <= a + length - 1)
+        p = np.where(again, e, p - 1)
+        lo, hi = np.where(again, lo0, lo), np.where(again, hi0, hi)
+        if over.any():
+            keep = ~over
+            a, e, p, lo, hi, wall, near, stop = a[keep], e[keep], p[keep], lo[keep], hi[keep], wall[keep], near[keep], stop[keep]
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(starts), np.concatenate(ends)
