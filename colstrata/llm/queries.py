@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, jaccard, lm, mixing, packing, spm, substring, warc
+from . import fertility, jaccard, lm, mixing, packing, quality, spm, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_docs(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated = labels.select("doc_id", quality.rating(labels["quality"], labels["toxic"]).alias("grade"))
+    return quality.select_quality(_docs(spark, sf_dir), rated)
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_docs(spark, sf_dir))
 
@@ -50,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_lm": op2_lm,
+        "op3_quality": op3_quality,
         "op4_substring": op4_substring,
         "op5_warc": op5_warc,
         "op6_mixing": op6_mixing,
