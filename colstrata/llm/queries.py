@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, jaccard, lm, mixing, packing, quality, spm, substring, warc
+from . import ann, fertility, jaccard, lm, mixing, packing, quality, spm, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_docs(spark, sf_dir))
 
@@ -53,8 +57,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(_docs(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_ann": op1_ann,
         "op2_lm": op2_lm,
         "op3_quality": op3_quality,
         "op4_substring": op4_substring,
@@ -64,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op8_jaccard": op8_jaccard,
         "op9_fertility": op9_fertility,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 
