@@ -7,18 +7,580 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import vectors as vec
+from ..functions.filters import Filter, all_of, is_degenerate, prune_values, to_column
+from ..operators import embed, knn, postings, quantile, rows
+from ..sources import tables
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projection of the line items of some suppliers within a quantity range."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.where(F.col("l_suppkey").isin(1, 3, 5, 7) & F.col("l_quantity").between(5, 25)).select("l_orderkey", "l_linenumber", "l_quantity")
+    """Line items of some suppliers within a quantity range."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    test = all_of([Filter("l_suppkey", values=(1, 3, 5, 7)), Filter("l_quantity", "range", low=5.0, high=25.0)], li.schema)
+    return li.where(test).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+_QUERIES["flagship"] = flagship
+_SQL["flagship"] = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey IN (1,3,5,7) AND l_quantity BETWEEN 5 AND 25"
+
+# -- scalar predicates: name, table, columns kept, filters, SQL condition
+
+
+def _filtered(name: str, table: str, keep: str, filters: list[Filter], where: str) -> None:
+    cols = [c.strip() for c in keep.split(",")]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables.table(spark, sf_dir, table)
+        return t.where(all_of(filters, t.schema)).select(*cols)
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT {keep} FROM {table} WHERE {where}"
+
+
+_LARGE = tuple(range(3, 903, 6))
+_EV, _LI = "event_id, value", "l_orderkey, l_linenumber, l_suppkey"
+_filtered("filter_eq", "lineitem", _LI, [Filter("l_suppkey", values=(7,))], "l_suppkey = 7")
+_filtered("filter_in", "lineitem", _LI, [Filter("l_suppkey", values=(1, 5, 9, 42))], "l_suppkey IN (1,5,9,42)")
+_filtered("filter_in_large", "lineitem", "l_orderkey, l_linenumber, l_partkey", [Filter("l_partkey", values=_LARGE)], f"l_partkey IN ({','.join(map(str, _LARGE))})")
+_filtered("filter_not_in", "lineitem", _LI, [Filter("l_suppkey", values=(1, 5, 9), exclude=True)], "l_suppkey NOT IN (1,5,9)")
+_filtered("filter_range_closed", "events", _EV, [Filter("value", "range", low=10.0, high=20.0)], "value >= 10 AND value <= 20")
+_filtered("filter_range_open", "events", _EV, [Filter("value", "range", low=10.0, high=20.0, low_closed=False, high_closed=False)], "value > 10 AND value < 20")
+_filtered("filter_range_half", "events", _EV, [Filter("value", "range", low=10.0, high=20.0, high_closed=False)], "value >= 10 AND value < 20")
+_filtered("filter_range_unbounded", "events", _EV, [Filter("value", "range", low=40.0)], "value >= 40")
+_filtered("filter_range_exclude", "events", _EV, [Filter("value", "range", low=10.0, high=20.0, exclude=True)], "NOT (value BETWEEN 10 AND 20)")
+_filtered("filter_notnull", "events", "event_id, event_type", [Filter("event_type", "notnull")], "event_type IS NOT NULL")
+_filtered("filter_fixup", "lineitem", _LI, [Filter("l_linenumber", "range", low=-5, high=1 << 40)], "l_linenumber >= -5")
+_filtered("filter_str_eq", "events", "event_id, event_type", [Filter("event_type", values=("click",))], "event_type = 'click'")
+_filtered("filter_str_in", "events", "event_id, event_type", [Filter("event_type", values=("click", "error"))], "event_type IN ('click','error')")
+_filtered("filter_str_not_in", "events", "event_id, event_type", [Filter("event_type", values=("click", "error"), exclude=True)], "event_type NOT IN ('click','error')")
+_filtered("filter_str_fold", "events", "event_id, event_type", [Filter("event_type", values=("CLICK",), fold_case=True)], "lower(event_type) = 'click' AND strlen(event_type) = 5")
+_filtered("filter_and", "lineitem", _LI, [Filter("l_suppkey", values=(2, 4, 6, 8)), Filter("l_discount", "range", low=0.05, high=0.07), Filter("l_returnflag", values=("R",), exclude=True)], "l_suppkey IN (2,4,6,8) AND l_discount BETWEEN 0.05 AND 0.07 AND l_returnflag NOT IN ('R')")
+_filtered("json_eq", "events", "event_id, props", [Filter("props", values=(42,), path="$.k")], "CAST(json_extract_string(props, '$.k') AS BIGINT) = 42")
+_filtered("json_range", "events", "event_id, props", [Filter("props", "range", low=10, high=20, path="$.k")], "CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 20")
+
+
+@_add("filter_float_range", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS FLOAT)::DOUBLE AS q FROM lineitem WHERE CAST(l_quantity AS FLOAT) > CAST(3.5 AS FLOAT) AND CAST(l_quantity AS FLOAT) <= CAST(12 AS FLOAT)")
+def _(spark, sf):
+    t = tables.table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("float"))
+    return t.where(to_column(Filter("q", "range", low=3.5, high=12.0, low_closed=False), t.schema)).select("l_orderkey", "l_linenumber", F.col("q").cast("double").alias("q"))
+
+
+def _flags(spark, sf):
+    return tables.table(spark, sf, "labels").withColumn("good", F.col("quality") == 1)
+
+
+@_add("filter_bool", "SELECT doc_id FROM labels WHERE quality = 1")
+def _(spark, sf):
+    t = _flags(spark, sf)
+    return t.where(to_column(Filter("good", "range", low=1, high=1), t.schema)).select("doc_id")
+
+
+@_add("filter_degenerate", "SELECT doc_id FROM labels")
+def _(spark, sf):
+    t, f = _flags(spark, sf), Filter("good", values=(0, 1))
+    return (t if is_degenerate(f, t.schema["good"].dataType) else t.where(to_column(f, t.schema))).select("doc_id")
+
+
+@_add("filter_cutoff", "SELECT event_id, value FROM events WHERE value > 25 ORDER BY event_id LIMIT 100")
+def _(spark, sf):
+    t = tables.table(spark, sf, "events")
+    return rows.cutoff(t.where(to_column(Filter("value", "range", low=25.0, low_closed=False))).select("event_id", "value"), "event_id", 100)
+
+
+@_add("rowid_shard", "SELECT c_custkey FROM customer, (SELECT count(*) n FROM customer) WHERE c_custkey >= 2 * ((n + 3) // 4) AND c_custkey <= 3 * ((n + 3) // 4) - 1")
+def _(spark, sf):
+    t = tables.table(spark, sf, "customer")
+    return t.where(rows.in_shard(F.col("c_custkey"), t.count(), 4, 2)).select("c_custkey")
+
+
+# -- sets: suppliers of each order, with empty sets for orders without line items
+
+_SETS = "s AS (SELECT o_orderkey, coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (WHERE l_suppkey IS NOT NULL)), []::BIGINT[]) AS supps FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"
+
+
+def _sets(spark, sf):
+    li = tables.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("supps"))
+    return tables.table(spark, sf, "orders").select("o_orderkey").join(li, "o_orderkey", "left").withColumn("supps", F.coalesce("supps", F.array().cast("array<bigint>")))
+
+
+def _set_query(name: str, f: Filter, where: str) -> None:
+    def run(spark, sf):
+        t = _sets(spark, sf)
+        return t.where(to_column(f, t.schema)).select("o_orderkey", F.size("supps").cast("bigint").alias("n"))
+
+    _QUERIES[name] = run
+    _SQL[name] = f"WITH {_SETS} SELECT o_orderkey, len(supps)::BIGINT AS n FROM s WHERE {where}"
+
+
+_set_query("mva_any_eq", Filter("supps", values=(7,)), "list_contains(supps, 7)")
+_set_query("mva_any_in", Filter("supps", values=(7, 11, 13)), "list_has_any(supps, [7,11,13]::BIGINT[])")
+_set_query("mva_all_eq", Filter("supps", values=(7,), quantifier="all"), "len(supps) > 0 AND len(list_filter(supps, lambda z: z = 7)) = len(supps)")
+_set_query("mva_all_in", Filter("supps", values=tuple(range(40)), quantifier="all"), "len(supps) > 0 AND len(list_filter(supps, lambda z: z < 40)) = len(supps)")
+_set_query("mva_any_range", Filter("supps", "range", low=10, high=12, low_closed=False), "len(list_filter(supps, lambda z: z > 10 AND z <= 12)) > 0")
+_set_query("mva_all_range", Filter("supps", "range", low=10, high=60, quantifier="all"), "len(supps) > 0 AND list_min(supps) >= 10 AND list_max(supps) <= 60")
+_set_query("mva_any_not", Filter("supps", values=(7, 11), exclude=True), "NOT list_has_any(supps, [7,11]::BIGINT[])")
+_set_query("mva_all_not", Filter("supps", "range", low=10, high=60, quantifier="all", exclude=True), "NOT (len(supps) > 0 AND coalesce(list_min(supps) >= 10 AND list_max(supps) <= 60, false))")
+
+
+# -- projection by row id
+
+
+@_add("fetch_scalar", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey = 77")
+def _(spark, sf):
+    return tables.table(spark, sf, "customer").where("c_custkey = 77").select("c_custkey", "c_acctbal")
+
+
+@_add("fetch_batch", "SELECT o_orderkey AS ordinal, c_custkey, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, sf):
+    wanted = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("c_custkey"))
+    return rows.fetch(tables.table(spark, sf, "customer"), wanted, "c_custkey", ["c_name", "c_acctbal"])
+
+
+@_add("fetch_string_len", "SELECT doc_id, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars FROM documents")
+def _(spark, sf):
+    return tables.table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.char_length("text").cast("bigint").alias("chars"))
+
+
+@_add("fetch_mva", f"WITH {_SETS} SELECT o_orderkey, len(supps)::BIGINT AS n, coalesce(list_sum(supps), 0)::BIGINT AS total FROM s")
+def _(spark, sf):
+    return _sets(spark, sf).select("o_orderkey", F.size("supps").cast("bigint").alias("n"), F.aggregate("supps", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@_add("fetch_vector", "SELECT vec_id, len(embedding)::BIGINT AS dims, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings")
+def _(spark, sf):
+    v = F.col("embedding")
+    return tables.table(spark, sf, "embeddings").select("vec_id", F.size(v).cast("bigint").alias("dims"), v[0].cast("double").alias("first"), v[63].cast("double").alias("last"))
+
+
+@_add("string_hash_groups", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def _(spark, sf):
+    hashed = tables.table(spark, sf, "events").withColumn("h", F.xxhash64("event_type"))
+    return hashed.groupBy("h", "event_type").agg(F.count("*").alias("n")).drop("h")
+
+
+# -- blocks of row ids
+
+_BLOCKS = "b AS (SELECT event_id // 1024 AS block, count(*)::BIGINT AS rows, min(value) AS least, max(value) AS most FROM events GROUP BY 1)"
+
+
+def _stats(spark, sf):
+    return rows.block_stats(tables.table(spark, sf, "events"), "event_id", "value")
+
+
+@_add("block_minmax", f"WITH {_BLOCKS} SELECT block, rows, least, most FROM b")
+def _(spark, sf):
+    return _stats(spark, sf)
+
+
+@_add("block_prune", "SELECT event_id, value FROM events WHERE value BETWEEN 60 AND 1000")
+def _(spark, sf):
+    return rows.prune(tables.table(spark, sf, "events"), _stats(spark, sf), "event_id", "value", 60.0, 1000.0).select("event_id", "value")
+
+
+@_add("early_reject", "SELECT coalesce(max(value) < 1e9 OR min(value) > 2e9, true) AS rejected FROM events")
+def _(spark, sf):
+    return rows.early_reject(_stats(spark, sf), 1e9, 2e9)
+
+
+@_add("estimate_minmax", f"WITH {_BLOCKS} SELECT count(*) FILTER (WHERE most >= 60 AND least <= 1000)::BIGINT AS blocks, coalesce(sum(rows) FILTER (WHERE most >= 60 AND least <= 1000), 0)::BIGINT AS rows FROM b")
+def _(spark, sf):
+    return rows.estimate_rows(_stats(spark, sf), 60.0, 1000.0)
+
+
+# -- posting tables
+
+
+def _user_index(spark, sf):
+    return postings.build(tables.table(spark, sf, "events"), "event_id", "user_id")
+
+
+def _set_index(spark, sf):
+    return postings.build(_sets(spark, sf), "o_orderkey", "supps")
+
+
+def _value_in(*v):
+    return F.col("value").isin(*v)
+
+
+@_add("si_build", "SELECT user_id AS value, count(*)::BIGINT AS n, min(event_id) AS min_rid, max(event_id) AS max_rid FROM events GROUP BY user_id")
+def _(spark, sf):
+    p = _user_index(spark, sf)
+    return p.groupBy("value").agg(F.sum("n").alias("n"), F.min("min_rid").alias("min_rid"), F.max("max_rid").alias("max_rid"))
+
+
+@_add("si_in", "SELECT event_id AS rid FROM events WHERE user_id IN (3, 8, 46)")
+def _(spark, sf):
+    return postings.rows(_user_index(spark, sf), _value_in(3, 8, 46))
+
+
+@_add("si_range", "SELECT event_id AS rid FROM events WHERE user_id BETWEEN 10 AND 30")
+def _(spark, sf):
+    return postings.rows(_user_index(spark, sf), F.col("value").between(10, 30))
+
+
+@_add("si_string", "SELECT event_id AS rid FROM events WHERE event_type = 'click'")
+def _(spark, sf):
+    return postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "event_type"), _value_in("click"))
+
+
+@_add("si_notnull", "SELECT event_id AS rid FROM events WHERE value IS NOT NULL")
+def _(spark, sf):
+    return postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "value"), F.lit(True))
+
+
+@_add("si_exclude", "SELECT event_id AS rid FROM events WHERE user_id NOT IN (3, 8, 46)")
+def _(spark, sf):
+    return postings.excluded(tables.table(spark, sf, "events"), "event_id", _user_index(spark, sf), _value_in(3, 8, 46))
+
+
+@_add("si_bounds", "SELECT event_id AS rid FROM events WHERE user_id BETWEEN 10 AND 30 AND event_id BETWEEN 100 AND 400")
+def _(spark, sf):
+    return postings.bounded(_user_index(spark, sf), F.col("value").between(10, 30), 100, 400)
+
+
+@_add("si_cutoff", "SELECT event_id AS rid FROM events WHERE user_id BETWEEN 10 AND 30 ORDER BY event_id LIMIT 50")
+def _(spark, sf):
+    return rows.cutoff(postings.rows(_user_index(spark, sf), F.col("value").between(10, 30)), "rid", 50)
+
+
+@_add("si_union", "SELECT event_id AS rid FROM events WHERE user_id BETWEEN 10 AND 30 OR event_type = 'error'")
+def _(spark, sf):
+    a = postings.rows(_user_index(spark, sf), F.col("value").between(10, 30))
+    b = postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "event_type"), _value_in("error"))
+    return a.union(b).distinct()
+
+
+@_add("si_count_values", "SELECT count(*)::BIGINT AS n FROM events WHERE user_id IN (3, 8, 46)")
+def _(spark, sf):
+    return postings.count(_user_index(spark, sf), _value_in(3, 8, 46))
+
+
+@_add("si_count_range", "SELECT count(*)::BIGINT AS n FROM events WHERE user_id BETWEEN 10 AND 30")
+def _(spark, sf):
+    return postings.count(_user_index(spark, sf), F.col("value").between(10, 30))
+
+
+@_add("si_count_exclude", "SELECT count(*)::BIGINT AS n FROM events WHERE user_id NOT IN (3, 8, 46)")
+def _(spark, sf):
+    return postings.count(_user_index(spark, sf), ~_value_in(3, 8, 46))
+
+
+@_add("si_count_mva", f"WITH {_SETS} SELECT count(*)::BIGINT AS n FROM (SELECT unnest(supps) AS x FROM s) WHERE x IN (3, 7)")
+def _(spark, sf):
+    return postings.count(_set_index(spark, sf), _value_in(3, 7))
+
+
+@_add("si_mva", f"WITH {_SETS} SELECT o_orderkey AS rid FROM s WHERE list_has_any(supps, [3,7]::BIGINT[])")
+def _(spark, sf):
+    return postings.rows(_set_index(spark, sf), _value_in(3, 7))
+
+
+@_add("si_count_distinct", "SELECT count(DISTINCT user_id)::BIGINT AS values, count(*)::BIGINT AS postings, min(user_id) AS least, max(user_id) AS most FROM events")
+def _(spark, sf):
+    return postings.summary(_user_index(spark, sf))
+
+
+@_add("si_num_iterators", "SELECT count(DISTINCT user_id)::BIGINT AS iterators FROM events WHERE user_id BETWEEN 10 AND 30")
+def _(spark, sf):
+    return postings.num_values(_user_index(spark, sf), F.col("value").between(10, 30))
+
+
+@_add("si_prune_values", "SELECT event_id AS rid FROM events WHERE user_id IN (-4, 3, 8, 99999999)")
+def _(spark, sf):
+    p = _user_index(spark, sf)
+    s = p.agg(F.min("value").alias("least"), F.max("value").alias("most")).first()
+    f = prune_values(Filter("value", values=(-4, 3, 8, 99999999)), s["least"], s["most"])
+    return postings.rows(p, to_column(f))
+
+
+@_add("si_float", "SELECT CAST(value AS FLOAT)::DOUBLE AS value, count(*)::BIGINT AS n FROM events GROUP BY CAST(value AS FLOAT)")
+def _(spark, sf):
+    t = tables.table(spark, sf, "events").select("event_id", F.col("value").cast("float").alias("value"))
+    return postings.build(t, "event_id", "value").groupBy("value").agg(F.sum("n").alias("n")).select(F.col("value").cast("double").alias("value"), "n")
+
+
+@_add("si_enabled", "SELECT * FROM (VALUES ('price', true), ('props', false), ('props[''k'']', false)) t(attr, enabled)")
+def _(spark, sf):
+    r = postings.Registry(["price", "props", "props['k']"])
+    r.column_updated("props")
+    return spark.createDataFrame(list(r.enabled.items()), "attr string, enabled boolean")
+
+
+@_add("si_attr_info", "SELECT 'user_id' AS attr, 'bigint' AS type, count(DISTINCT user_id)::BIGINT AS values, min(user_id) AS least, max(user_id) AS most FROM events")
+def _(spark, sf):
+    t = tables.table(spark, sf, "events")
+    return postings.summary(_user_index(spark, sf)).select(F.lit("user_id").alias("attr"), F.lit(t.schema["user_id"].dataType.simpleString()).alias("type"), "values", "least", "most")
+
+
+@_add("attr_info", "SELECT * FROM (SELECT 'event_type' AS attr, 'string' AS type, count(DISTINCT event_type)::BIGINT AS distinct_values FROM events UNION ALL SELECT 'user_id', 'bigint', count(DISTINCT user_id)::BIGINT FROM events UNION ALL SELECT 'value', 'double', count(DISTINCT value)::BIGINT FROM events)")
+def _(spark, sf):
+    t = tables.table(spark, sf, "events")
+    names = ["event_type", "user_id", "value"]
+    one = t.agg(*[F.countDistinct(c).alias(c) for c in names])
+    infos = [F.struct(F.lit(c).alias("attr"), F.lit(t.schema[c].dataType.simpleString()).alias("type"), F.col(c).alias("distinct_values")) for c in names]
+    return one.select(F.explode(F.array(*infos)).alias("x")).select("x.*")
+
+
+@_add("check_secondary", "SELECT user_id AS value, event_id AS rid, 0::BIGINT AS surplus FROM events WHERE false")
+def _(spark, sf):
+    return postings.mismatches(_user_index(spark, sf), tables.table(spark, sf, "events"), "event_id", "user_id")
+
+
+@_add("check_columnar", "SELECT count(*)::BIGINT AS rows, count(DISTINCT event_id)::BIGINT AS ids, min(event_id) AS least_id, max(event_id) AS most_id, count(*) FILTER (WHERE value IS NULL OR isnan(value))::BIGINT AS bad_values FROM events")
+def _(spark, sf):
+    return tables.table(spark, sf, "events").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.min("event_id").alias("least_id"), F.max("event_id").alias("most_id"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("bad_values"))
+
+
+@_add("sink_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
+def _(spark, sf):
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colstrata-")
+    path = f"{folder}/colstrata/orders-{uuid.uuid4().hex}"
+    tables.write(tables.table(spark, sf, "orders"), path, sort="o_orderkey")
+    return tables.read(spark, path).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+# -- vectors: every row is a query, and every other one a candidate
+
+_E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+_L2, _IP, _COS = "power(list_distance(a.v, b.v), 2)", "1 - list_inner_product(a.v, b.v)", "list_cosine_distance(a.v, b.v)"
+
+
+def _emb(spark, sf):
+    return tables.table(spark, sf, "embeddings")
+
+
+def _rounded(x):
+    return F.round(x, 6) + F.lit(0.0)
+
+
+def _pairs(spark, sf):
+    a = _emb(spark, sf).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    b = _emb(spark, sf).select((F.col("vec_id") - 1).alias("a_id"), F.col("embedding").alias("b"))
+    return a.join(b, "a_id")
+
+
+for _name, _f, _sql in (("dist_l2", vec.l2, _L2), ("dist_ip", vec.inner_product, _IP), ("dist_cosine", vec.cosine, _COS)):
+
+    def _dist(spark, sf, f=_f):
+        return _pairs(spark, sf).select(F.col("a_id").alias("vec_id"), _rounded(f(F.col("a"), F.col("b"))).alias("dist"))
+
+    _QUERIES[_name] = _dist
+    _SQL[_name] = f"WITH {_E} SELECT a.vec_id, round({_sql}, 6) + 0.0 AS dist FROM e a JOIN e b ON b.vec_id = a.vec_id + 1"
+
+
+@_add("dist_batch", f"WITH {_E}, f AS (SELECT label, min(vec_id) AS id FROM e GROUP BY label) SELECT b.vec_id AS anchor_id, a.vec_id, round({_L2}, 6) + 0.0 AS dist FROM e a CROSS JOIN e b WHERE b.vec_id IN (SELECT id FROM f)")
+def _(spark, sf):
+    e = _emb(spark, sf)
+    # one anchor a label: as many rows as there are labels
+    anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"), F.min("vec_id").alias("anchor_id"))
+    return e.crossJoin(anchors).select("anchor_id", "vec_id", _rounded(vec.l2(F.col("embedding"), F.col("anchor"))).alias("dist"))
+
+
+def _iv(df):
+    return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def _knn_sql(d: str, where: str = "") -> str:
+    return f"WITH {_E} SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({d}, 6) + 0.0 AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id {where} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({d}, 6) + 0.0, b.vec_id) <= 10"
+
+
+for _name, _metric, _sql in (("knn_l2", "l2", _L2), ("knn_ip", "ip", _IP), ("knn_cosine", "cosine", _COS)):
+
+    def _knn(spark, sf, metric=_metric):
+        e = _iv(_emb(spark, sf))
+        return knn.top_k(e, e, 10, metric)
+
+    _QUERIES[_name] = _knn
+    _SQL[_name] = _knn_sql(_sql)
+
+
+@_add("knn_filtered", _knn_sql(_L2, "AND b.label IN (1, 3)"))
+def _(spark, sf):
+    e = _emb(spark, sf)
+    return knn.top_k(_iv(e), _iv(e.where(to_column(Filter("label", values=(1, 3)), e.schema))), 10, "l2")
+
+
+@_add("knn_rowid_order", _knn_sql(_L2) + " ORDER BY query_id, vec_id")
+def _(spark, sf):
+    e = _iv(_emb(spark, sf))
+    return knn.top_k(e, e, 10, "l2").orderBy("query_id", "vec_id")
+
+
+@_add(
+    "knn_multi",
+    f"WITH {_E} SELECT q AS query_id, d AS vec_id, dist FROM (SELECT a.vec_id AS q, (b.vec_id // 3) AS d, min(round({_L2}, 6) + 0.0) AS dist FROM e a CROSS JOIN e b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, d) <= 5",
+)
+def _(spark, sf):
+    e = _iv(_emb(spark, sf))
+    return knn.top_k(e, e.withColumn("doc", F.expr("id div 3")), 5, "l2", same_set=False, owner="doc")
+
+
+@_add("knn_plan", "SELECT label, count(*)::BIGINT AS passing, 'exact' AS plan FROM embeddings GROUP BY label")
+def _(spark, sf):
+    e = _emb(spark, sf)
+    n = e.count()
+    found = e.groupBy("label").agg(F.count("*").alias("passing")).collect()  # a row for each label
+    return spark.createDataFrame([(r["label"], r["passing"], knn.plan(r["passing"], n, 10, 64)) for r in found], "label int, passing bigint, plan string")
+
+
+_RANGE = "r AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x FROM e))"
+_CODE = "greatest(0, least(255, round(255.0 * (z - lo) / (hi - lo))::INT))"
+
+
+def _bounds(e):
+    return e.select(F.explode("embedding").alias("x")).agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi"))
+
+
+def _coded(spark, sf):
+    e = _emb(spark, sf)
+    # one row of bounds
+    return e.crossJoin(F.broadcast(_bounds(e))).withColumn("codes", vec.codes8(F.col("embedding"), F.col("lo"), F.col("hi")))
+
+
+@_add("knn_train_params", f"WITH {_E}, {_RANGE} SELECT lo, hi, (hi - lo) / 255.0 AS alpha FROM r")
+def _(spark, sf):
+    return _bounds(_emb(spark, sf)).select("lo", "hi", ((F.col("hi") - F.col("lo")) / 255.0).alias("alpha"))
+
+
+@_add("quant8_codes", f"WITH {_E}, {_RANGE} SELECT vec_id, list_sum(list_transform(v, lambda z: {_CODE}))::BIGINT AS code_sum, list_min(list_transform(v, lambda z: {_CODE}))::BIGINT AS least, list_max(list_transform(v, lambda z: {_CODE}))::BIGINT AS most FROM e, r")
+def _(spark, sf):
+    return _coded(spark, sf).select("vec_id", F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"), F.array_min("codes").cast("bigint").alias("least"), F.array_max("codes").cast("bigint").alias("most"))
+
+
+_C8 = f"c AS (SELECT vec_id, list_transform(v, lambda z: {_CODE}::DOUBLE) AS v, lo, hi FROM e, r)"
+_Q8L2 = "power((a.hi - a.lo) / 255.0, 2) * power(list_distance(a.v, b.v), 2)"
+_Q8IP = "1 - (power((a.hi - a.lo) / 255.0, 2) * list_inner_product(a.v, b.v) + a.lo * (a.hi - a.lo) / 255.0 * (list_sum(a.v) + list_sum(b.v)) + 64 * a.lo * a.lo)"
+for _name, _metric, _sql in (("knn_quant8_l2", "l2", _Q8L2), ("knn_quant8_ip", "ip", _Q8IP)):
+
+    def _knn8(spark, sf, metric=_metric):
+        alpha = (F.col("hi") - F.col("lo")) / 255.0
+        c = _coded(spark, sf).select(F.col("vec_id").alias("id"), F.transform("codes", lambda x: F.col("lo") + alpha * x).alias("v"))
+        return knn.top_k(c, c, 10, metric, digits=5)
+
+    _QUERIES[_name] = _knn8
+    _SQL[_name] = f"WITH {_E}, {_RANGE}, {_C8} SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_sql}, 5) + 0.0 AS dist FROM c a JOIN c b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_sql}, 5) + 0.0, b.vec_id) <= 10"
+
+
+@_add("quant1_codes", f"WITH {_E} SELECT vec_id, len(list_filter(v, lambda z: z > 0))::BIGINT AS ones FROM e")
+def _(spark, sf):
+    return _emb(spark, sf).select("vec_id", F.aggregate(vec.sign_bits(F.col("embedding")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ones"))
+
+
+@_add(
+    "knn_hamming",
+    f"WITH {_E}, s AS (SELECT vec_id, list_transform(v, lambda z: CASE WHEN z > 0 THEN 1.0 ELSE -1.0 END) AS v FROM e) SELECT a.vec_id AS query_id, b.vec_id AS vec_id, (-list_inner_product(a.v, b.v))::DOUBLE + 0.0 AS dist FROM s a JOIN s b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY -list_inner_product(a.v, b.v), b.vec_id) <= 10",
+)
+def _(spark, sf):
+    # mismatches less matches is minus the dot product of signs
+    s = _emb(spark, sf).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)).alias("v"))
+    return knn.top_k(s, s, 10, "ip").withColumn("dist", F.col("dist") - 1.0 + F.lit(0.0))
+
+
+@_add("rabitq_l2")
+def _(spark, sf):
+    return knn.rabitq_top_k(_emb(spark, sf), 10, metric="l2")
+
+
+@_add("rabitq_ip")
+def _(spark, sf):
+    return knn.rabitq_top_k(_emb(spark, sf), 10, metric="ip")
+
+
+@_add("check_vectors", "SELECT vec_id, 'length' AS problem FROM embeddings WHERE len(embedding) <> 64")
+def _(spark, sf):
+    return knn.check_vectors(_emb(spark, sf), "vec_id", "embedding", 64)
+
+
+@_add("quantile_exact", "SELECT event_type, round(quantile_cont(value, 0.2), 6) AS q20, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY event_type")
+def _(spark, sf):
+    return tables.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.2), 6).alias("q20"), F.round(F.percentile("value", 0.9), 6).alias("q90"))
+
+
+@_add("quantile_p2")
+def _(spark, sf):
+    def run(key, batches):
+        import pyarrow as pa
+
+        est, n = quantile.PSquare(0.9), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if x is not None:
+                    est.add(x)
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"event_type": [key[0].as_py()], "n": [n], "q90": [est.value()]}, pa.schema([("event_type", pa.string()), ("n", pa.int64()), ("q90", pa.float64())]))
+
+    # rows of a group stream through its five markers
+    def grouped(key, table):
+        return pa_concat(run(key, table.to_batches()))
+
+    def pa_concat(parts):
+        import pyarrow as pa
+
+        return pa.Table.from_batches(list(parts))
+
+    return tables.table(spark, sf, "events").select("value", "event_type").groupBy("event_type").applyInArrow(grouped, "event_type string, n bigint, q90 double")
+
+
+# -- text embedding surface
+
+
+@_add("vec_normalize", f"WITH {_E} SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS length, round(v[1] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS first FROM e")
+def _(spark, sf):
+    v = F.col("embedding")
+    return _emb(spark, sf).select("vec_id", F.round(F.sqrt(vec.dot(v, v)), 6).alias("length"), _rounded(vec.normalised(v)[0]).alias("first"))
+
+
+@_add("text_truncate")
+def _(spark, sf):
+    return tables.table(spark, sf, "documents").select("doc_id", tx.truncate_bytes(F.col("text"), 4096).alias("text"))
+
+
+@_add("embed_hash")
+def _(spark, sf):
+    return embed.embed_hash(tables.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_add("embed_models", "SELECT * FROM (VALUES ('jina','jina-clip-v2',1024),('jina','jina-embeddings-v2-base-en',768),('jina','jina-embeddings-v3',1024),('jina','jina-embeddings-v4',2048),('openai','text-embedding-3-large',3072),('openai','text-embedding-3-small',1536),('openai','text-embedding-ada-002',1536),('voyage','voyage-3-large',1024),('voyage','voyage-3.5',1024),('voyage','voyage-3.5-lite',1024),('voyage','voyage-code-3',1024),('voyage','voyage-large-2',1536)) t(provider, model, dims)")
+def _(spark, sf):
+    return spark.createDataFrame([(m.provider, m.name, m.dims) for m in tx.MODELS.values()], "provider string, model string, dims int")
+
+
+@_add("embed_dispatch", "SELECT * FROM (VALUES ('openai:any','openai','any'),('voyage/voyage-3.5','voyage','voyage-3.5'),('jina:x','jina','x'),('my/local-model','local','my/local-model')) t(model_id, provider, model)")
+def _(spark, sf):
+    ids = ["openai:any", "voyage/voyage-3.5", "jina:x", "my/local-model"]
+    return spark.createDataFrame([(i, *tx.dispatch(i)) for i in ids], "model_id string, provider string, model string")
+
+
+@_add("config_parse", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS hidden FROM events")
+def _(spark, sf):
+    hidden, _ = tx.config_sizes(F.regexp_replace("props", '"k"', '"hidden_size"'))
+    return tables.table(spark, sf, "events").select("event_id", hidden.alias("hidden"))
 
 
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey IN (1,3,5,7) AND l_quantity BETWEEN 5 AND 25"}
+    return dict(_SQL)
+
+
+
