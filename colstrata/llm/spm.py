@@ -32,7 +32,7 @@ from . import vocab
 from .staging import stage
 
 _SPACE = "▁"
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _BITS = 60
 
 
@@ -142,7 +142,7 @@ def _units(buf: np.ndarray, offsets: np.ndarray, p: Pieces) -> tuple[np.ndarray,
     if not len(out):
         z = np.zeros(0, np.int64)
         return out, z, z, z
-    cls = p.cls[out].astype(np.int64)
+    cls = p.cls[out].astype(np.int32)
     start = np.ones(len(out), bool)
     start[1:] = ~p.joins[cls[:-1] * p.width + cls[1:]]
     start[ends[:-1][some]] = True
