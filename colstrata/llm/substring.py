@@ -346,6 +346,9 @@ def search_shard(ids: np.ndarray, hashes: np.ndarray, place: np.ndarray, size: n
     _, which, count = np.unique(least, return_inverse=True, return_counts=True)
     keep = np.flatnonzero((count[which] > 1) | (several > 0))
     order = keep[np.lexsort((place[keep], hashes[keep], ids[keep]))]
+    # a repeated row of one id and text is one document
+    i, h, at = ids[order], hashes[order], place[order]
+    order = order[np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])])] if len(order) else order
     begin = (np.cumsum(size) - size)[order]
     size = size[order].astype(np.int64)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
@@ -430,8 +433,8 @@ def repeated_passages(docs: DataFrame, length: int = 50, run_words: int = 6, sha
 
     Nulls: a null text has no words; documents without doc_id are compared and
     reported under null. Texts of fewer than `length` words have no window. Very
-    long texts are read whole. Repeated rows repeat each other; a text may also
-    repeat itself. An empty table gives no row. Other columns are not read.
+    long texts are read whole. Repeated rows of one id and text count once; a text
+    may repeat itself. An empty table gives no row. Other columns are not read.
     """
     runs = repeated_runs(docs, length, run_words, shard_bytes, text, doc_id)
     x = F.col("x")
@@ -448,7 +451,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, run_words: int = 6, shard_byt
     the new length of a text that was cut.
 
     The ranges are broadcast up to broadcast_rows documents and joined beyond.
-    Repeated rows of one id and text are cut alike, so that none is lost. Cases
+    Repeated rows of one id and text are one document and are cut alike. Cases
     of nulls and others are those of repeated_passages(); such rows stay.
     """
     names = docs.columns
