@@ -263,7 +263,7 @@ def neighbours(table: DataFrame, k: int = 10, m: int = 16, ef_build: int = 64, e
                     names=["shard", "ids", "vectors", "nodes", "links"],
                 )
 
-    placed = once.select("shard", "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    placed = once.select("shard", "id", "v").repartitionById(shards, "shard").sortWithinPartitions("shard", "id")
     graphs = stage(placed.mapInArrow(build, "shard int, ids binary, vectors binary, nodes array<binary>, links array<binary>"), "graphs")
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:

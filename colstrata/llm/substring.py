@@ -408,7 +408,7 @@ def repeated_runs(docs: DataFrame, length: int = 50, run_words: int = 6, shard_b
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0][seg[c]], mask=lost[c]), pa.array(cols[1][seg[c]]), pa.array((start[c] + x[c]).astype(np.int32)), pa.array((start[c] + y[c]).astype(np.int32)), pa.array(dup[c])], names=["doc_id", "text_hash", "a", "b", "later"])
 
     parts = max(1, min(shards, 20_000))
-    sharded = _segments(docs, text, doc_id, length, run_words, shards).repartition(parts, "shard").sortWithinPartitions("shard")
+    sharded = _segments(docs, text, doc_id, length, run_words, shards).repartitionById(parts, "shard").sortWithinPartitions("shard")
     found = sharded.mapInArrow(run, "doc_id bigint, text_hash bigint, a int, b int, later boolean")
 
     def merged(flag: F.Column | None) -> F.Column:
