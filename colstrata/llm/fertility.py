@@ -26,7 +26,7 @@ from . import textkernel as tk
 from . import vocab
 
 FIGURES = ("chars_per_token", "fallback_share", "token_evenness")
-_BATCH = 8 << 20
+_BATCH = 2 << 20
 
 
 def _script(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text")
             f = figures(batch.column(at), folder)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f[k].tolist() if k == "script" else f[k]) for k in names)], names=[*batch.schema.names, *(f"{prefix}_{k}" for k in names)])
 
-    return docs.mapInArrow(run, schema), prefix
+    return docs.mapInArrow(lambda batches: tk.released(run(batches)), schema), prefix
 
 
 def _levels(lang: str | None, script: str, tokens: int) -> tuple[str, ...]:
@@ -178,4 +178,4 @@ def fertility_rules(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str =
                 keep &= (f[k] >= lo - half) & (f[k] <= hi + half)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: tk.released(run(batches)), docs.schema)

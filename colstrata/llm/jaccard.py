@@ -117,7 +117,7 @@ def _sketch(docs: DataFrame, text: str, doc_id: str, n: int, hashes: int, full:
                     names=["doc_id", "sig", "sig2", "size", "minima", "data"],
                 )
 
-    return picked.mapInArrow(run, "doc_id bigint, sig bigint, sig2 bigint, size int, minima binary, data binary")
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, sig bigint, sig2 bigint, size int, minima binary, data binary")
 
 
 def _tiles(sketch: DataFrame, hashes: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _candidates(tiles: DataFrame, t: float, hashes: int) -> DataFrame:
             )
 
     sized = tiles.select("tile", "size", "sig", "sig2", "doc_id", "nth", "minima", "data").repartition("tile").sortWithinPartitions("tile", "size", "sig", "sig2", "doc_id")
-    return sized.mapInArrow(run, "tile bigint, doc_id bigint, sig bigint, sig2 bigint, nth int, members array<bigint>")
+    return sized.mapInArrow(lambda batches: tk.released(run(batches)), "tile bigint, doc_id bigint, sig bigint, sig2 bigint, nth int, members array<bigint>")
 
 
 def _settle(shipped: DataFrame, t: float, hashes: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _settle(shipped: DataFrame, t: float, hashes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(2).take(x), batch.column(2).take(y), pa.array(jac[p : p + 50_000]), batch.column(6).take(x), batch.column(6).take(y)], names=names)
 
     picked = shipped.select("tile", "size", "doc_id", "nth", "minima", "data", "members", "sig").repartition("tile").sortWithinPartitions("tile", "size", "doc_id", "sig")
-    return picked.mapInArrow(run, PAIR_SCHEMA)
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), PAIR_SCHEMA)
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 8, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 400_000) -> DataFrame:

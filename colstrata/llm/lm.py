@@ -87,7 +87,7 @@ def count_grams(docs: DataFrame, order: int, text: str = "text", most: int = 3_0
             yield from out(parts)
 
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
-    return picked.mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -307,7 +307,7 @@ def lm_scores(docs: DataFrame, model: Backoff | None = None, order: int = 5, tex
                 total = pa.array(np.concatenate(parts) if parts else np.zeros(0), mask=np.asarray(batch.column(2).is_null()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), total], names=["doc_id", "n", "total"])
 
-        scored = picked.select("doc_id", size.alias("n"), "t").mapInArrow(run, "doc_id bigint, n bigint, total double")
+        scored = picked.select("doc_id", size.alias("n"), "t").mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, n bigint, total double")
         return scored.select("doc_id", *_measures(F.col("total"), F.col("n")))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def lm_scores(docs: DataFrame, model: Backoff | None = None, order: int = 5, tex
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(g[head].view(np.int64)), pa.array(np.diff(np.append(head, len(g))))], names=["doc_id", "h", "n", "g", "times"])
 
     keyed = picked.where("t IS NOT NULL").select("doc_id", F.xxhash64("t").alias("h"), size.alias("n"), "t").groupBy("doc_id", "h", "n").agg(F.min("t").alias("t"), F.count("*").alias("rows"))
-    grams = keyed.select("doc_id", "h", "n", "t").mapInArrow(explode, "doc_id bigint, h bigint, n bigint, g bigint, times bigint")
+    grams = keyed.select("doc_id", "h", "n", "t").mapInArrow(lambda batches: tk.released(explode(batches)), "doc_id bigint, h bigint, n bigint, g bigint, times bigint")
     total = gram_logp(grams, model).groupBy("doc_id", "h", "n").agg(F.sum(F.col("times") * F.col("logp")).alias("total"))
     again = keyed.select("doc_id", "h", "n", "rows")
     same = (total["doc_id"].eqNullSafe(again["doc_id"])) & (total["h"] == again["h"]) & (total["n"] == again["n"])

@@ -162,4 +162,4 @@ def pack_tokens(docs: DataFrame, length: int = 2048, folder: str = vocab.TOKENIZ
         yield from group(held)
 
     picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
-    return picked.mapInArrow(run, PACK_SCHEMA)
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), PACK_SCHEMA)

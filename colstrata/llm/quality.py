@@ -154,7 +154,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int =
                 ids, ends = features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["id", "grade", "ids"])
 
-    found = texts.join(F.broadcast(picked), "_id").select("_id", "_grade", "t").mapInArrow(run, "id bigint, grade int, ids array<int>").toArrow()
+    found = texts.join(F.broadcast(picked), "_id").select("_id", "_grade", "t").mapInArrow(lambda batches: tk.released(run(batches)), "id bigint, grade int, ids array<int>").toArrow()
     grade_of = found.column("grade").to_numpy().astype(np.int64)
     if len(np.unique(grade_of)) < 2:
         return None
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, model: Ordinal | None, text: str = "text", do
                 tail = above[:, k - 1] if k > 0 else np.ones(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(above.sum(1), mask=none), pa.array(tail, mask=none)], names=["doc_id", "expected_grade", "tail_probability"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), schema)
 
 
 def select_quality(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int = 18, least: int | None = None, probability: float = 0.3, text: str = "text", doc_id: str = "doc_id", grade: str = "grade") -> DataFrame:

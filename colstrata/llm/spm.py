@@ -179,7 +179,7 @@ def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text")
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_spelled(cps, s[first], e[first]))], names=["h", "unit"])
 
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
-    return picked.mapInArrow(run, "h bigint, unit string").groupBy("h").agg(F.min("unit").alias("unit"))
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "h bigint, unit string").groupBy("h").agg(F.min("unit").alias("unit"))
 
 
 def piece_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -264,7 +264,7 @@ def encode_units(units: DataFrame, folder: str, name: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(u) for u in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["h", "ids"])
 
-    long = units.where(F.char_length("unit") > _BITS).select("h", "unit").mapInArrow(run, "h bigint, ids array<int>")
+    long = units.where(F.char_length("unit") > _BITS).select("h", "unit").mapInArrow(lambda batches: tk.released(run(batches)), "h bigint, ids array<int>")
     return folded.select("h", ids.alias("ids")).unionByName(long)
 
 
@@ -312,7 +312,7 @@ def encode_pieces(docs: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "
                     made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()) if flat.dtype == np.int32 else pa.array(flat.astype(np.int32)), mask=none if none.true_count else None)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made], names=["doc_id", "ids"])
 
-        return picked.mapInArrow(run, "doc_id bigint, ids array<int>")
+        return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, ids array<int>")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(folder, name)
@@ -325,7 +325,7 @@ def encode_pieces(docs: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), made], names=["doc_id", "k", "hs"])
 
     keyed = picked.where("t IS NOT NULL AND t <> ''").groupBy("doc_id", F.xxhash64("t").alias("k")).agg(F.min("t").alias("t"), F.count("*").alias("rows"))
-    hs = keyed.select("doc_id", "k", "t").mapInArrow(listed, "doc_id bigint, k bigint, hs array<bigint>")
+    hs = keyed.select("doc_id", "k", "t").mapInArrow(lambda batches: tk.released(listed(batches)), "doc_id bigint, k bigint, hs array<bigint>")
     placed = hs.select("doc_id", "k", F.posexplode("hs").alias("pos", "h")).join(coded, "h")
     whole = placed.groupBy("doc_id", "k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     count = keyed.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "rows")
@@ -364,4 +364,4 @@ def decode_pieces(coded: DataFrame, folder: str = vocab.TOKENIZERS, name: str =
             made = pa.array(out, pa.string(), mask=np.asarray(column.is_null()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), made], names=[*names, text])
 
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(lambda batches: tk.released(run(batches)), schema)

@@ -328,7 +328,7 @@ def _segments(docs: DataFrame, text: str, doc_id: str, length: int, run_words: i
                     names=["shard", "ids", "hashes", "places", "sizes", "least", "several", "symbols", "extra"],
                 )
 
-    return picked.mapInArrow(run, "shard int, ids binary, hashes binary, places binary, sizes binary, least binary, several binary, symbols binary, extra binary")
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "shard int, ids binary, hashes binary, places binary, sizes binary, least binary, several binary, symbols binary, extra binary")
 
 
 def _runs(flag: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,7 +409,7 @@ def repeated_runs(docs: DataFrame, length: int = 50, run_words: int = 6, shard_b
 
     parts = max(1, min(shards, 20_000))
     sharded = _segments(docs, text, doc_id, length, run_words, shards).repartitionById(parts, "shard").sortWithinPartitions("shard")
-    found = sharded.mapInArrow(run, "doc_id bigint, text_hash bigint, a int, b int, later boolean")
+    found = sharded.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, text_hash bigint, a int, b int, later boolean")
 
     def merged(flag: F.Column | None) -> F.Column:
         ranges = F.sort_array(F.collect_list(F.when(flag, F.struct("a", "b")) if flag is not None else F.struct("a", "b")))
@@ -496,4 +496,4 @@ def cut_repeats(docs: DataFrame, length: int = 50, run_words: int = 6, shard_byt
                 columns[count_at] = pa.array(n, columns[count_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lambda batches: tk.released(run(batches)), docs.schema)

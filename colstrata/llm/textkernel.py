@@ -7,9 +7,13 @@ of rows. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+_LIBC = ctypes.CDLL(None)
+
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII bytes that are neither letters nor digits
@@ -151,6 +155,25 @@ def byte_to_char(buf: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
 
 
+def released(parts):
+    """The parts of a task's result; memory that was freed goes back to the system at each and at the end.
+
+    A worker serves one task after another, and would keep the most that any took.
+    """
+    for part in parts:
+        yield part
+        del part
+        _release()
+    _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a longer document stands alone."""
     out, a, n = [], 0, len(offsets) - 1

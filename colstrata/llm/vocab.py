@@ -65,7 +65,7 @@ class PieceMemo:
     A speed-up alone: it is emptied when it has grown past `most` pieces.
     """
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self.clear()
 
@@ -84,7 +84,7 @@ class PieceMemo:
 
     def codes(self, keys: np.ndarray, encode) -> np.ndarray:
         """Rows of the memo for distinct sorted `keys`; encode(positions) gives lists for those not known."""
-        if len(self.keys) + len(keys) > self.most:
+        if len(self.keys) > self.most:
             self.clear()
         _, known = self.find(keys)
         fresh = np.flatnonzero(~known)
