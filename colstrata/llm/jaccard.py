@@ -149,7 +149,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordB
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    """All rows in one batch; binary columns and strings get 64-bit offsets, as 2 GiB of one may be passed."""
+    if len(held) == 1:
+        return held[0]
+    wide = {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}
+    table = pa.Table.from_batches(held)
+    found = table.cast(pa.schema([pa.field(f.name, wide.get(f.type, f.type)) for f in table.schema])).combine_chunks().to_batches()
+    if len(found) != 1:
+        raise ValueError(f"the rows of one key are too many for one batch: {len(found)}")
+    return found[0]
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +226,7 @@ def _candidates(tiles: DataFrame, t: float, hashes: int) -> DataFrame:
             keep = np.flatnonzero(~alone)
             if not len(keep):
                 continue
-            batch = _joined(pa.Table.from_batches([batch.take(pa.array(keep))]).combine_chunks().to_batches())
+            batch = batch.take(pa.array(keep))
             tile, size, sig, sig2, doc, nth = (batch.column(k).to_numpy() for k in range(6))
             size = size.astype(np.int64)
             # equal sets stand next to each other, their least document first

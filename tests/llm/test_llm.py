@@ -369,6 +369,15 @@ def test_jaccard_edges(tricky, empty):
     assert jaccard.jaccard_pairs(empty).count() == 0 and jaccard.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_of_a_key_past_two_gib_stay():
+    big = pa.array([bytes(1_200_000_000)], pa.binary())
+    held = [pa.record_batch([pa.array([7]), pa.array([i]), big], names=["tile", "doc_id", "data"]) for i in range(2)]
+    got = list(jaccard._grouped(iter(held), 0))
+    assert [b.column(1).to_pylist() for b in got] == [[0, 1]]
+    _, at = jaccard._bytes_of(got[0].column(2))
+    assert at.tolist() == [0, 1_200_000_000, 2_400_000_000]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a bigint, b bigint")
     got = dict(map(tuple, jaccard.components(edges, "a", "b").collect()))
