@@ -359,14 +359,39 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 8, text: str = "text", doc_id: str = "doc_id", once: bool = False) -> DataFrame:
     """The documents without those that are near another of lower id, through any chain of pairs.
 
-    Of repeated rows of one id, one stays if they are in a group. Documents that
-    are in no pair, as those without id or text, stay.
+    A document is an id with a text, known by a 64-bit hash of both: rows of one id
+    with different texts stay or go each on their own, and of those that are near
+    each other one stays. Repeated rows of one id and text stay or go together;
+    with `once`, one row of each is left. Documents that are in no pair, as those
+    without id or text, stay.
     """
-    pairs = stage(jaccard_pairs(docs, threshold, n, hashes, text, doc_id), "pairs")
+    own, words = F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`").cast("string")
+    node = F.when(own.isNotNull() & words.isNotNull(), F.xxhash64(own, words))
+    pairs = stage(jaccard_pairs(docs.select(node.alias("doc_id"), words.alias("text")), threshold, n, hashes), "pairs")
     stars = pairs.select("doc_id", F.explode("docs").alias("o")).unionByName(pairs.select("doc_id", F.explode("near_docs").alias("o")))
-    grouped = stage(components(stars, "doc_id", "o").where("node <> component").select(F.col("node").alias("_gone")), "gone")
-    few = rows_of(grouped, 1_000_000)
-    return docs.join(F.broadcast(grouped) if few else grouped, F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone"), "left_anti")
+    linked = components(stars, "doc_id", "o").where("node <> component")
+    members = stage(linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct()), "members")
+    few = rows_of(members, 1_000_000)
+    named = docs.select(node.alias("node"), own.alias("id")).join(F.broadcast(members) if few else members, "node").distinct()
+    # the least id of a group, which the least node needn't be
+    least = named.groupBy("component").agg(F.min(F.struct("id", "node"))["node"].alias("node"))
+    gone = stage(members.join(least, ["component", "node"], "left_anti").select(F.col("node").alias("_gone")), "gone")
+    left = docs.join(F.broadcast(gone) if few else gone, node == F.col("_gone"), "left_anti")
+    if not once:
+        return left
+    copied = stage(docs.groupBy(node.alias("_copied")).agg(F.count("*").alias("n")).where("_copied IS NOT NULL AND n > 1").select("_copied"), "copied")
+    side = F.broadcast(copied) if rows_of(copied, 1_000_000) else copied
+    nth = _free(docs.columns)
+    order = Window.partitionBy(node).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+    first = left.join(side, node == F.col("_copied"), "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return left.join(side, node == F.col("_copied"), "left_anti").unionByName(first)
+
+
+def _free(columns: list[str]) -> str:
+    name = "_nth"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -378,6 +378,18 @@ def test_rows_of_a_key_past_two_gib_stay():
     assert at.tolist() == [0, 1_200_000_000, 2_400_000_000]
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (7, a + " more"), (7, b), (8, c), (8, c + " more"), (9, ""), (9, ""), (None, c), (None, c), (10, None), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, df, "").collect()))
+    of_8 = {t: n for (i, t), n in got.items() if i == 8}
+    assert len(of_8) == 1 and set(of_8.values()) == {1}
+    assert {k: n for k, n in got.items() if k[0] != 8} == {(5, a): 1, (7, b): 1, (9, ""): 1, (None, c): 2, (10, None): 2}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a bigint, b bigint")
     got = dict(map(tuple, jaccard.components(edges, "a", "b").collect()))
