@@ -10,7 +10,12 @@ Three figures of each document under public vocabularies, none of them trained h
 Bands are Tukey fences around the quartiles of a language's documents of about
 the same length (a power of two of tokens), taken over all documents, copies
 counted once; a language without enough such documents, or none given, is judged
-by its dominant script, and that by all.
+by its dominant script, and that by all. A length without enough documents in any
+of these is judged by the nearest length that has them, and if none has, by the
+documents of all lengths. Where texts of c times the tokens are the nearest, the
+ranges are sqrt(c) times as wide, as means over fewer tokens scatter, and evenness,
+which nears 1 in short texts, has no upper fence. So a text with a token goes unjudged only in a table of
+fewer than `least` distinct documents.
 """
 
 from __future__ import annotations
@@ -114,13 +119,28 @@ def measure(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text")
     return docs.mapInArrow(lambda batches: tk.released(run(batches)), schema), prefix
 
 
-def _levels(lang: str | None, script: str, tokens: int) -> tuple[str, ...]:
-    cls = max(int(tokens), 1).bit_length()
-    return ((f"lang:{lang}/{cls}",) if lang is not None else ()) + (f"script:{script}/{cls}", f"all/{cls}")
+Bands = dict[str, dict[int, list[tuple[float, float]]]]
+#: The length class that holds the documents of all lengths.
+_ANY = 0
 
 
-def bands(measured: DataFrame, prefix: str, lang: str = "lang", least: int = 50, most: int = 100_000) -> dict[str, list[tuple[float, float]]]:
-    """Quartiles of the figures by language and by script within a length class, over all documents.
+def _groups(lang: str | None, script: str) -> tuple[str, ...]:
+    return ((f"lang:{lang}",) if lang is not None else ()) + (f"script:{script}", "all")
+
+
+def _band(found: Bands, lang: str | None, script: str, cls: int) -> tuple[list[tuple[float, float]], int] | None:
+    """The band of the nearest length class that has one, by language before script before all; and by how many classes it is longer."""
+    own = [x for k in _groups(lang, script) if (x := found.get(k))]
+    for away in range(65):
+        for x in own:
+            for c in (cls - away, cls + away):
+                if c > _ANY and c in x:
+                    return x[c], max(0, c - cls)
+    return next(((x[_ANY], 0) for x in own if _ANY in x), None)
+
+
+def bands(measured: DataFrame, prefix: str, lang: str = "lang", least: int = 50, most: int = 100_000) -> Bands:
+    """Quartiles of the figures by language, by script and of all, within each length class and whatever the length.
 
     Documents with the same figures, as copies are, count once. Groups of fewer
     than `least` get no band. Should a dirty language column give more than
@@ -128,22 +148,30 @@ def bands(measured: DataFrame, prefix: str, lang: str = "lang", least: int = 50,
     """
     fig = [F.col(f"{prefix}_{k}").alias(k) for k in FIGURES]
     n = F.col(f"{prefix}_n_tokens")
-    cls = F.length(F.bin(F.greatest(n, F.lit(1)))).cast("string")
-    keys = [F.concat(F.lit("lang:"), F.col(f"`{lang}`"), F.lit("/"), cls), F.concat(F.lit("script:"), F.col(f"{prefix}_script"), F.lit("/"), cls), F.concat(F.lit("all/"), cls)]
+    cls = F.length(F.bin(F.greatest(n, F.lit(1))))
+    names = [F.concat(F.lit("lang:"), F.col(f"`{lang}`")), F.concat(F.lit("script:"), F.col(f"{prefix}_script")), F.lit("all")]
+    keys = [F.struct(k.alias("of"), c.cast("int").alias("cls")) for k in names for c in (cls, F.lit(_ANY))]
     once = measured.where(n > 0).select(n.alias("n"), F.array(*keys).alias("bands"), *fig).distinct()
     rows = (
         once.select(F.explode("bands").alias("band"), *FIGURES)
-        .where(F.col("band").isNotNull())
-        .groupBy("band")
+        .select("band.*", *FIGURES)
+        .where(F.col("of").isNotNull())
+        .groupBy("of", "cls")
         .agg(F.count("*").alias("n"), *[F.percentile_approx(k, [0.25, 0.75], 1000).alias(k) for k in FIGURES])
         .where(F.col("n") >= least)
         .limit(most + 1)
         .collect()
     )
-    found = {r["band"]: [tuple(r[k]) for k in FIGURES] for r in rows}
-    if len(found) > most:
+    if len(rows) > most:
         by_script = measured.withColumn(f"{prefix}_none", F.lit(None).cast("string"))
         return bands(by_script, prefix, f"{prefix}_none", least, 1 << 30)
+    return _by_group(rows)
+
+
+def _by_group(rows: list) -> Bands:
+    found: Bands = {}
+    for r in rows:
+        found.setdefault(r["of"], {})[r["cls"]] = [tuple(r[k]) for k in FIGURES]
     return found
 
 
@@ -167,15 +195,18 @@ def fertility_rules(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = figures(batch.column(t), folder)
-            keys = zip(batch.column(g).to_pylist(), f["script"].tolist(), f["n_tokens"].tolist())
-            own = [next((found[k] for k in _levels(*x) if k in found), None) for x in keys]
+            keys = zip(batch.column(g).to_pylist(), f["script"].tolist(), (max(x, 1).bit_length() for x in f["n_tokens"].tolist()))
+            known: dict[tuple, tuple[list[tuple[float, float]], int] | None] = {}
+            own = [known[x] if x in known else known.setdefault(x, _band(found, *x)) for x in keys]
             keep = (f["n_tokens"] > 0) & (f["words"] > 0)
+            longer = np.array([0 if b is None else b[1] for b in own])
             for i, k in enumerate(FIGURES):
-                lo = np.array([-np.inf if b is None else b[i][0] for b in own])
-                hi = np.array([np.inf if b is None else b[i][1] for b in own])
+                lo = np.array([-np.inf if b is None else b[0][i][0] for b in own])
+                hi = np.array([np.inf if b is None else b[0][i][1] for b in own])
                 judged = np.isfinite(lo)
-                half = np.where(judged, np.maximum(np.where(judged, hi, 0) - np.where(judged, lo, 0), floors[i]) * width, 0)
-                keep &= (f[k] >= lo - half) & (f[k] <= hi + half)
+                half = np.where(judged, np.maximum(np.where(judged, hi, 0) - np.where(judged, lo, 0), floors[i]) * width * 2 ** (longer / 2), 0)
+                above = (longer > 0) if k == "token_evenness" else False
+                keep &= (f[k] >= lo - half) & ((f[k] <= hi + half) | above)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(lambda batches: tk.released(run(batches)), docs.schema)

@@ -428,6 +428,23 @@ def test_fertility_keeps_clean_documents(spark, tricky, empty):
     assert fertility.fertility_rules(empty).count() == 0
 
 
+def test_fertility_judges_sparse_lengths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400")
+    junk = spark.createDataFrame([(-1, "qzx" * 40_000, "en"), (-2, "qzx" * 40_000, None), (-3, "\u2603" * 30_000, "new")], "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in fertility.fertility_rules(docs.union(junk)).select("doc_id").collect()}
+    assert len(kept) > 300 and not kept & {-1, -2, -3}
+
+
+def test_fertility_band_of_the_nearest_length():
+    x, y, z, w = ([(float(i), i + 1.0)] * 3 for i in range(4))
+    found = {"lang:en": {5: x, 8: y, 0: w}, "all": {5: z, 9: z, 0: w}}
+    band = lambda *k: fertility._band(found, *k)
+    got = [band("en", "latin", 5), band("en", "latin", 6), band("en", "latin", 7), band("en", "latin", 9), band("en", "latin", 20), band(None, "none", 1)]
+    want = [(x, 0), (x, 0), (y, 1), (z, 0), (z, 0), (z, 4)]
+    assert all(g[0] is b and g[1] == n for g, (b, n) in zip(got, want))
+    assert fertility._band({"all": {0: w}}, "en", "latin", 4) == (w, 0) and fertility._band({}, "en", "latin", 4) is None
+
+
 # -- 10
 
 
