@@ -1,270 +1,197 @@
 """Approximate nearest neighbours: a navigable small-world graph for each shard, results merged.
 
-Vectors go to shards by a hash of their id. A shard builds its hierarchy from the
-top: each layer holds a random share of the layer below, and is built by searching
-what stands already, from the entry that the layers above give. Neighbours lie in
-flat arrays of fixed width. A search keeps a beam for each of many queries and moves
-all beams at once, so distances are batched products. Every query is searched in
-every shard, and the shards' best are merged by distance and id.
+Vectors go to the cell of their nearest centroid, and a cell of more than shard_rows
+vectors is split into shards by a hash of the id, so a crowded place is many shards.
+A shard's hierarchy of graphs is stored in flat neighbour arrays, one row a shard. A
+query is searched in all shards of the cells whose centroids are nearest to it, and
+the shards' best are merged by distance and id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import Layer, build_graph, search_graph
 from .jaccard import _grouped
 from .staging import stage
 
-_NONE = np.int32(-1)
-_BEAM_BYTES = 24 << 20
-
-
-class Layer:
-    """Nodes of one layer (positions in the shard) and their neighbours by place in the layer."""
-
-    def __init__(self, nodes: np.ndarray, links: np.ndarray):
-        self.nodes, self.links = nodes, links
-
-
-def _distances(vectors: np.ndarray, norms: np.ndarray, at: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Squared distances without the queries' own part, for rows of candidates."""
-    return norms[at] - 2 * np.matmul(vectors[at], queries[:, :, None])[:, :, 0]
-
-
-def beam_search(vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, fan: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The ef nearest places found for each query, with distances; -1 and infinity beyond."""
-    n, width = links.shape
-    step = max(1, _BEAM_BYTES // max(n * 3, fan * width * vectors.shape[1] * 4))
-    if len(queries) > step:
-        parts = [beam_search(vectors, norms, links, queries[a : a + step], entry[a : a + step], ef, fan) for a in range(0, len(queries), step)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    m = len(queries)
-    out_i, out_d = np.full((m, ef), -1, np.int64), np.full((m, ef), np.inf, np.float32)
-    place, dist = out_i.copy(), out_d.copy()
-    place[:, 0] = entry
-    dist[:, 0] = _distances(vectors, norms, entry[:, None], queries)[:, 0]
-    open_ = np.zeros((m, ef), bool)
-    open_[:, 0] = True
-    seen, stamp = np.zeros((m, n), bool), np.zeros((m, n), np.int16)
-    seen[np.arange(m), entry] = True
-    live, q = np.arange(m), queries
-    while len(live):
-        rows = np.arange(len(live))[:, None]
-        # the nearest open places come first, as the beam is sorted
-        pick = np.argsort(~open_, axis=1, kind="stable")[:, :fan]
-        at = np.where(np.take_along_axis(open_, pick, 1), np.take_along_axis(place, pick, 1), -1)
-        np.put_along_axis(open_, pick, False, 1)
-        new = np.where(at[:, :, None] >= 0, links[at], _NONE).reshape(len(live), -1).astype(np.int64)
-        ok = new >= 0
-        safe = np.where(ok, new, 0)
-        ok &= ~seen[live[:, None], safe]
-        order = np.broadcast_to(np.arange(new.shape[1], dtype=np.int16), new.shape)
-        r, c = np.nonzero(ok)
-        stamp[live[r], new[r, c]] = order[r, c]
-        keep = stamp[live[r], new[r, c]] == order[r, c]
-        ok[r[~keep], c[~keep]] = False
-        seen[live[r], new[r, c]] = True
-        d = np.where(ok, _distances(vectors, norms, safe, q), np.inf)
-        all_d = np.concatenate([dist, d], 1)
-        best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, 1), axis=1, kind="stable"), 1)
-        dist = np.take_along_axis(all_d, best, 1)
-        place = np.take_along_axis(np.concatenate([place, np.where(ok, new, -1)], 1), best, 1)
-        open_ = np.take_along_axis(np.concatenate([open_, ok], 1), best, 1)
-        going = open_.any(1)
-        if not going.all():
-            done = live[~going]
-            out_i[done], out_d[done] = place[~going], dist[~going]
-            live, place, dist, open_, q = live[going], place[going], dist[going], open_[going], q[going]
-        del rows
-    return out_i, out_d
-
-
-def _select(vectors: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
-    """Up to width neighbours of each row: first those nearer to the row than to one taken, then the nearest of the rest."""
-    m, k = cand.shape
-    out = np.full((m, width), -1, np.int32)
-    for a in range(0, m, 1024):
-        c, d = cand[a : a + 1024], dist[a : a + 1024]
-        ok = c >= 0
-        x = vectors[np.where(ok, c, 0)]
-        own = (x * x).sum(2)
-        pair = own[:, :, None] + own[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
-        taken = np.zeros(c.shape, bool)
-        size = np.zeros(len(c), np.int64)
-        for j in range(k):
-            good = ok[:, j] & (size < width)
-            if j:
-                good &= ~((pair[:, j, :j] <= d[:, j, None]) & taken[:, :j]).any(1)
-            taken[:, j] = good
-            size += good
-        rank = np.where(ok, np.where(taken, 0, k) + np.arange(k), 3 * k)
-        order = np.argsort(rank, axis=1, kind="stable")[:, :width]
-        got = np.take_along_axis(np.where(ok, c, -1), order, 1)
-        out[a : a + 1024, : got.shape[1]] = got
-    return out
-
-
-def build_layer(vectors: np.ndarray, entry: np.ndarray, width: int, ef: int) -> np.ndarray:
-    """The neighbours of all nodes, inserted in order; entry: a place to start from for each, or -1."""
-    n = len(vectors)
-    norms = (vectors * vectors).sum(1)
-    links = np.full((n, width), -1, np.int32)
-    at = 0
-    while at < n:
-        size = min(n - at, max(256, min(at, 2048)))
-        new = np.arange(at, at + size)
-        block = norms[new][None, :] + norms[new][:, None] - 2 * vectors[new] @ vectors[new].T
-        np.fill_diagonal(block, np.inf)
-        near = min(ef, size)
-        inner = np.argpartition(block, near - 1, axis=1)[:, :near]
-        cand, dist = inner + at, np.take_along_axis(block, inner, 1)
-        if at:
-            # entries must stand already; the first node does
-            start = np.where((entry[new] >= 0) & (entry[new] < at), entry[new], 0)
-            i, d = beam_search(vectors[:at], norms[:at], links[:at], vectors[new], start, ef)
-            cand, dist = np.concatenate([cand, i], 1), np.concatenate([dist, d + norms[new][:, None]], 1)
-        cand = np.where(np.isfinite(dist), cand, -1)
-        order = np.argsort(dist, axis=1, kind="stable")[:, :ef]
-        cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
-        links[new] = _select(vectors, cand, dist, width)
-        # links back, with the lists of those that get one chosen anew
-        to = links[new].astype(np.int64)
-        source = np.repeat(new, width)[to.reshape(-1) >= 0]
-        target = to.reshape(-1)[to.reshape(-1) >= 0]
-        nodes, which = np.unique(target, return_inverse=True)
-        old = links[nodes].astype(np.int64)
-        x = np.concatenate([np.repeat(np.arange(len(nodes)), width), which])
-        y = np.concatenate([old.reshape(-1), source])
-        x, y = x[y >= 0], y[y >= 0]
-        key = np.unique(x * n + y)
-        x, y = key // n, key % n
-        d = np.empty(len(x), np.float32)
-        for p in range(0, len(x), 200_000):
-            u = vectors[nodes[x[p : p + 200_000]]] - vectors[y[p : p + 200_000]]
-            d[p : p + 200_000] = (u * u).sum(1)
-        order = np.lexsort((y, d, x))
-        x, y, d = x[order], y[order], d[order]
-        count = np.bincount(x, minlength=len(nodes))
-        rank = np.arange(len(x)) - (np.cumsum(count) - count)[x]
-        most = 2 * width
-        inside = rank < most
-        cand, dist = np.full((len(nodes), most), -1, np.int64), np.full((len(nodes), most), np.inf, np.float32)
-        cand[x[inside], rank[inside]], dist[x[inside], rank[inside]] = y[inside], d[inside]
-        links[nodes] = _select(vectors, cand, dist, width)
-        at += size
-    return links
-
-
-def build_graph(vectors: np.ndarray, m: int = 16, ef: int = 96, seed: int = 1) -> list[Layer]:
-    """Layers from the top one down; the last holds every node, with 2 m neighbours."""
-    n = len(vectors)
-    rng = np.random.default_rng(seed)
-    level = np.floor(-np.log(1 - rng.random(n)) / math.log(m)).astype(int)
-    layers: list[Layer] = []
-    for k in range(int(level.max()) if n else -1, -1, -1):
-        nodes = np.flatnonzero(level >= k)
-        entry = np.full(len(nodes), -1, np.int64)
-        if layers and len(nodes) > 256:
-            start = descend(vectors, layers, vectors[nodes], 1)
-            entry = np.searchsorted(nodes, start)
-        # nodes of the layer above come first, so that entries stand early
-        order = np.argsort(-level[nodes], kind="stable")
-        place = np.empty(len(nodes), np.int64)
-        place[order] = np.arange(len(nodes))
-        links = build_layer(vectors[nodes[order]], np.where(entry[order] >= 0, place[entry[order]], -1), 2 * m if k == 0 else m, ef)
-        layers.append(Layer(nodes[order], links))
-    return layers
-
-
-def descend(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, ef: int) -> np.ndarray:
-    """The nearest node found in the last of the layers, from the top down."""
-    node = np.full(len(queries), layers[0].nodes[0])
-    for layer in layers:
-        x = vectors[layer.nodes]
-        where = np.zeros(len(vectors), np.int64)
-        where[layer.nodes] = np.arange(len(layer.nodes))
-        i, _ = beam_search(x, (x * x).sum(1), layer.links, queries, where[node], max(ef, 4), 1)
-        node = layer.nodes[i[:, 0]]
-    return node
-
-
-def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest nodes found for each query and their squared distances; -1 and infinity beyond."""
-    base = layers[-1]
-    x = vectors[base.nodes]
-    where = np.empty(len(vectors), np.int64)
-    where[base.nodes] = np.arange(len(vectors))
-    node = descend(vectors, layers[:-1], queries, 1) if len(layers) > 1 else np.full(len(queries), base.nodes[0])
-    i, d = beam_search(x, (x * x).sum(1), base.links, queries, where[node], max(ef, k))
-    i, d = i[:, :k], d[:, :k] + (queries * queries).sum(1)[:, None]
-    return np.where(i >= 0, base.nodes[i], -1), np.maximum(d, 0)
+SCHEMA = "vec_id bigint, rank int, neighbour_id bigint, distance double"
+GRAPH_SCHEMA = "cell int, shard int, ids binary, vectors binary, nodes array<binary>, links array<binary>"
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float32).reshape(-1, dims)
 
 
-def neighbours(table: DataFrame, k: int = 10, m: int = 16, ef_build: int = 64, ef_search: int = 96, shard_rows: int = 20_000, block_rows: int = 40_000, metric: str = "cosine", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, rank from 1, neighbour_id and distance of the k nearest other vectors found for each vector.
+def _unit(x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def fit_centroids(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Means of the vectors nearest to each of `cells` centres, by Lloyd's rounds."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.permutation(len(x))[:cells]].copy()
+    for _ in range(rounds):
+        own = _cells_of(x, c, 1)[:, 0]
+        n = np.bincount(own, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _cells_of(x: np.ndarray, centroids: np.ndarray, most: int) -> np.ndarray:
+    """The cells of the `most` nearest centroids of each vector, nearest first."""
+    out = np.empty((len(x), most), np.int32)
+    norms = (centroids * centroids).sum(1)
+    for a in range(0, len(x), 4096):
+        d = norms[None, :] - 2 * x[a : a + 4096] @ centroids.T
+        out[a : a + 4096] = np.argsort(d, axis=1, kind="stable")[:, :most]
+    return out
+
 
-    metric: cosine (1 - cosine similarity) or l2 (squared distance). A graph is
-    shipped once for each block of block_rows queries.
+def fit_probes(x: np.ndarray, centroids: np.ndarray, k: int, coverage: float, most: int = 512) -> int:
+    """How many cells to search so that `coverage` of the true k nearest of `most` of the vectors lie in them."""
+    asked = x[:: max(1, len(x) // most)][:most]
+    d = (x * x).sum(1)[None, :] - 2 * asked @ x.T
+    d[np.arange(len(asked)), np.arange(0, len(x), max(1, len(x) // most))[: len(asked)]] = np.inf
+    near = min(k, len(x) - 1)
+    if near < 1:
+        return len(centroids)
+    true = np.argpartition(d, near - 1, axis=1)[:, :near]
+    own = _cells_of(x, centroids, 1)[:, 0]
+    order = _cells_of(asked, centroids, len(centroids))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centroids), dtype=np.int32)[None, :], 1)
+    ranks = np.sort(np.take_along_axis(rank, own[true], 1).reshape(-1))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))))]) + 1
+
+
+def _clean(table: DataFrame, metric: str, vec_id: str, vector: str) -> DataFrame:
+    v = F.col("v")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size(v) > 0) & finite)
+    return rows.where(F.exists(v, lambda x: x != 0)) if metric == "cosine" else rows
+
+
+def _placed(rows: DataFrame, centroids: np.ndarray, metric: str, dims: int, most: int) -> DataFrame:
+    """id, v and cells: the nearest ones of each vector."""
+
+    def run(batches):
+        for batch in batches:
+            cells = _cells_of(_unit(_matrix(batch.column(1), dims), metric), centroids, most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * most), pa.array(cells.reshape(-1)))], names=["id", "v", "cells"])
+
+    return rows.mapInArrow(run, "id bigint, v array<float>, cells array<int>")
+
+
+def _by_cell(counts: dict[int, int], cells: int, rows: int) -> Column:
+    """How many parts of about `rows` rows each cell has, by the column `cell`."""
+    parts = F.array(*[F.lit(max(1, -(-counts.get(c, 0) // rows))) for c in range(cells)])
+    return F.get(parts, F.col("cell"))
+
+
+def neighbours(
+    table: DataFrame,
+    queries: Column | None = None,
+    among: Column | None = None,
+    k: int = 10,
+    m: int = 16,
+    ef_build: int = 48,
+    ef_search: int = 96,
+    shard_rows: int = 10_000,
+    cells: int | None = None,
+    probes: int | None = None,
+    coverage: float = 0.98,
+    sample: int = 65_536,
+    block_rows: int = 20_000,
+    metric: str = "cosine",
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """vec_id, rank from 1, neighbour_id and distance of the k nearest other vectors found for each query.
+
+    queries: which rows are asked for, all by default; among: which rows can be
+    found, all by default; both conditions on the table's own columns.
+    metric: cosine (1 - cosine similarity) or l2 (squared distance).
+
+    Centroids (`cells` of them, by default one for each shard_rows vectors and 1,024
+    at most) are fitted on up to `sample` vectors by a hash of the id, which bounds
+    what the driver holds; every vector is indexed. A query probes the `probes`
+    nearest cells, by default as many as hold `coverage` of the true neighbours of
+    512 vectors of the sample among its others, which is few where vectors form
+    groups and most cells where they don't. A shard's graph is shipped once for each block of block_rows of
+    its queries, so neither the vectors nor the queries of a crowded cell meet in
+    one task.
 
     Nulls: rows without id, and vectors that are null, empty, of other than the
     most frequent dimension, with a null or infinite element, or (for cosine) of
     length 0 are in no result. Of several rows of one id the least vector counts.
-    Ties in distance go by id. Fewer than k others give fewer rows; an empty table
-    gives none. Other columns are not read.
+    Distances are rounded to 6 digits; of those found that are equal, the least
+    ids come first. Fewer than k others found give fewer rows; an empty table
+    gives none. Other columns are not read but by the two conditions.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError("metric must be cosine or l2")
-    schema = "vec_id bigint, rank int, neighbour_id bigint, distance double"
-    v = F.col("v")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size(v) > 0) & finite)
-    if metric == "cosine":
-        rows = rows.where(F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size(v).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    spark = table.sparkSession
+    stored = _clean(table if among is None else table.where(among), metric, vec_id, vector)
+    sizes = stored.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
-        return table.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     dims = sizes["d"]
-    shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["n"] // block_rows))
-    once = stage(rows.where(F.size(v) == dims).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")), "vectors")
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        if metric == "l2":
-            return x
-        x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
+
+    wanted = cells or max(1, min(1024, round(sizes["n"] / shard_rows)))
+    picked = stored.where(F.size("v") == dims).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow()
+    fitted = _unit(_matrix(picked.column("v").combine_chunks(), dims), metric)
+    centroids = fit_centroids(fitted, wanted)
+    wanted = len(centroids)
+    probes = min(wanted, probes or fit_probes(fitted, centroids, k, coverage))
+    own = stage(_placed(once(stored), centroids, metric, dims, 1).select("id", "v", F.col("cells")[0].alias("cell")), "vectors")
+    # a row for each cell
+    held = {r["cell"]: r["n"] for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    shards = own.withColumn("shard", F.pmod(F.xxhash64("id"), _by_cell(held, wanted, shard_rows)).cast("int"))
 
     def build(batches):
         for batch in _grouped(batches, 0):
-            shard = batch.column(0).to_numpy()
-            edges = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+            cell, shard = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = np.append(np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (shard[1:] != shard[:-1])])), len(cell))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 one = batch.slice(a, b - a)
-                x = unit(_matrix(one.column(2), dims))
+                x = _unit(_matrix(one.column(4), dims), metric)
                 layers = build_graph(x, m, ef_build)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([int(cell[a])], pa.int32()),
                         pa.array([int(shard[a])], pa.int32()),
-                        pa.array([one.column(1).to_numpy().tobytes()], pa.binary()),
+                        pa.array([one.column(3).to_numpy().tobytes()], pa.binary()),
                         pa.array([x.tobytes()], pa.binary()),
                         pa.array([[y.nodes.astype(np.int64).tobytes() for y in layers]], pa.list_(pa.binary())),
                         pa.array([[y.links.tobytes() for y in layers]], pa.list_(pa.binary())),
                     ],
-                    names=["shard", "ids", "vectors", "nodes", "links"],
+                    names=["cell", "shard", "ids", "vectors", "nodes", "links"],
                 )
 
-    placed = once.select("shard", "id", "v").repartitionById(shards, "shard").sortWithinPartitions("shard", "id")
-    graphs = stage(placed.mapInArrow(build, "shard int, ids binary, vectors binary, nodes array<binary>, links array<binary>"), "graphs")
+    n_shards = sum(max(1, -(-n // shard_rows)) for n in held.values())
+    placed = shards.select(F.xxhash64("cell", "shard").alias("key"), "cell", "shard", "id", "v").repartition(max(1, min(n_shards, 20_000)), "key").sortWithinPartitions("key", "id")
+    graphs = stage(placed.mapInArrow(build, GRAPH_SCHEMA), "graphs")
+
+    asked = own if queries is None and among is None else _placed(once(_clean(table if queries is None else table.where(queries), metric, vec_id, vector)), centroids, metric, dims, 1).select("id", "v")
+    probed = stage(_placed(asked.select("id", "v"), centroids, metric, dims, probes).select("id", "v", F.explode("cells").alias("cell")), "queries")
+    asks = {r["cell"]: r["n"] for r in probed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    blocks = _by_cell(asks, wanted, block_rows)
+    span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = probed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).select("id", "v", "cell", "block", span(_by_cell(held, wanted, shard_rows)).alias("shard"))
+    right = graphs.select("*", span(blocks).alias("block"))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("distance", pa.float64())])
@@ -274,17 +201,16 @@ def neighbours(table: DataFrame, k: int = 10, m: int = 16, ef_build: int = 64, e
         ids = np.frombuffer(g["ids"], np.int64)
         x = np.frombuffer(g["vectors"], np.float32).reshape(-1, dims)
         layers = [Layer(n := np.frombuffer(a, np.int64), np.frombuffer(b, np.int32).reshape(len(n), -1)) for a, b in zip(g["nodes"], g["links"])]
-        own = left.column("id").to_numpy()
-        i, d = search_graph(x, layers, unit(_matrix(left.column("v").combine_chunks(), dims)), k + 1, ef_search)
+        mine = left.column("id").to_numpy()
+        i, d = search_graph(x, layers, _unit(_matrix(left.column("v").combine_chunks(), dims), metric), max(ef_search, k + 1))
         near = ids[np.maximum(i, 0)]
-        ok = (i >= 0) & (near != own[:, None])
-        r, c = np.nonzero(ok)
-        return pa.table([own[r], near[r, c], d[r, c].astype(np.float64) / (2 if metric == "cosine" else 1)], schema=out)
-
-    keys = table.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    # one row a block
-    shipped = graphs.crossJoin(F.broadcast(keys))
-    asked = once.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = asked.groupBy("shard", "block").cogroup(shipped.groupBy("shard", "block")).applyInArrow(find, "vec_id bigint, neighbour_id bigint, distance double")
+        d = np.where((i >= 0) & (near != mine[:, None]), np.round(d.astype(np.float64) / (2 if metric == "cosine" else 1), 6), np.inf)
+        # ties among all that the beam found go by id
+        best = np.lexsort((near, d), axis=1)[:, :k]
+        d, near = np.take_along_axis(d, best, 1), np.take_along_axis(near, best, 1)
+        r, c = np.nonzero(np.isfinite(d))
+        return pa.table([mine[r], near[r, c], d[r, c]], schema=out)
+
+    found = left.groupBy("cell", "shard", "block").cogroup(right.groupBy("cell", "shard", "block")).applyInArrow(find, "vec_id bigint, neighbour_id bigint, distance double")
     nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")
