@@ -1,14 +1,20 @@
-"""All pairs of documents whose word n-gram sets are similar, by Jaccard.
-
-A tile holds the documents that share one of `hashes` minima of their grams (a
-pair of similarity j meets in none of them with probability (1 - j)^hashes, below
-0.4 % at 0.5). Within a tile, documents are ordered by set size, so a pair is
-looked at only in the band of sizes where the threshold can be reached. Each set
-has a hashed parity bitmap, about two bits a gram: a bit differs only where the
-sets do, so (sizes - differing bits) / 2 bounds the overlap from above. Pairs that
-the bound leaves are settled by intersecting the sorted arrays of grams, which
-only the documents of such pairs are shipped for. Sets that are equal are one
-set with several documents throughout.
+"""Documents whose word n-gram sets are similar, by Jaccard.
+
+Documents with equal sets are one set with several documents throughout, found by a
+pre-aggregated group-by, so copies never meet in a task. A tile holds the sets that
+share one of `hashes` minima of their grams (a pair of similarity j meets in none of
+them with probability (1 - j)^hashes, 0.0015 % at 0.5). A tile of more than
+`block_rows` sets is split into blocks by a hash of the set, and each pair of blocks
+is a cell of its own, so no task holds a tile. Within a cell, sets are ordered by
+size, so a pair is looked at only in the band of sizes where the threshold can be
+reached. Each set has a hashed parity bitmap, 4 to 8 bits a gram: a bit differs
+only where the sets do, so (sizes - differing bits) / 2 bounds the overlap from
+above. Pairs that the bound leaves are settled by intersecting the sorted arrays of
+grams, which only the sets of such pairs are shipped for.
+
+A cell gives one row for each set in a pair: how many documents it is linked to
+there, and a set that stands for its component in the cell. So what leaves a cell
+grows with its sets, and not with its pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,7 +32,10 @@ from .staging import rows_of, stage
 
 _GRAM = np.uint64((1 << 48) - 1)
 _SLICE = 4 << 20
-PAIR_SCHEMA = "doc_id bigint, near_id bigint, jaccard double, docs array<bigint>, near_docs array<bigint>"
+PAIR_SCHEMA = "a bigint, b bigint, jaccard double"
+LINK_SCHEMA = "sid bigint, root bigint, links bigint"
+#: Cells of up to so many sets are settled together, larger ones each by itself.
+_SMALL = 24
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +80,8 @@ def _minima(grams: np.ndarray, ends: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def _widths(size: np.ndarray) -> np.ndarray:
-    """Bits of a bitmap: a power of two of about two a gram, 64 at least."""
-    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 1.5)).astype(np.int64))
+    """Bits of a bitmap: a power of two of 4 to 8 a gram, 64 at least."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 4)).astype(np.int64))
 
 
 def _bitmaps(grams: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +99,13 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, text: str, doc_id: str, n: int, hashes: int, full: bool) -> DataFrame:
-    """doc_id, sig, sig2, size, minima and bitmap or, if full, grams of each document with any."""
-    picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    """doc_id, h (of the text), sid (of the set), size, minima, their lower halves, and bitmap or, if full, grams of each document with any."""
+    words = F.col(f"`{text}`").cast("string")
+    picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(words).alias("h"), words.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = tk.flat(batch.column(1))
+            buf, offsets = tk.flat(batch.column(2))
             for a, b in _slices(offsets):
                 grams, ends = gram_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 some = np.flatnonzero(np.diff(ends) > 0)
@@ -103,27 +113,37 @@ def _sketch(docs: DataFrame, text: str, doc_id: str, n: int, hashes: int, full:
                     continue
                 ends = np.append(ends[some], ends[-1])
                 mixed = tk.mix(grams + np.uint64(1))
+                both = np.add.reduceat(mixed, ends[:-1]) + tk.mix(np.bitwise_xor.reduceat(tk.mix(mixed), ends[:-1]) + np.diff(ends).astype(np.uint64))
                 # grams have 48 bits, so six bytes are shipped
                 data, at = (grams.view(np.uint8).reshape(-1, 8)[:, :6], ends * 6) if full else _bitmaps(grams, ends)
+                own, minima = batch.slice(a, b - a).take(pa.array(some)), _minima(grams, ends, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(some)),
-                        pa.array(np.add.reduceat(mixed, ends[:-1]).view(np.int64)),
-                        pa.array(np.bitwise_xor.reduceat(tk.mix(mixed), ends[:-1]).view(np.int64)),
+                        own.column(0),
+                        own.column(1),
+                        pa.array(tk.mix(both).view(np.int64)),
                         pa.array(np.diff(ends).astype(np.int32)),
-                        _binary(_minima(grams, ends, hashes).reshape(-1), np.arange(len(some) + 1) * 8 * hashes),
+                        _binary(minima.reshape(-1), np.arange(len(some) + 1) * 8 * hashes),
+                        _binary(minima.astype(np.uint32).reshape(-1), np.arange(len(some) + 1) * 4 * hashes),
                         _binary(data, at),
                     ],
-                    names=["doc_id", "sig", "sig2", "size", "minima", "data"],
+                    names=["doc_id", "h", "sid", "size", "minima", "short", "data"],
                 )
 
-    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, sig bigint, sig2 bigint, size int, minima binary, data binary")
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, h bigint, sid bigint, size int, minima binary, short binary, data binary")
 
 
-def _tiles(sketch: DataFrame, hashes: int) -> DataFrame:
-    """Each document once in the tile of each of its minima."""
+def _cells(sets: DataFrame, hashes: int, block_rows: int) -> DataFrame:
+    """sid, cell, nth and part of each set in each cell: part is 0 in a cell of one block, and 1 or 2 in one of two."""
     nth = F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))
-    return sketch.select(nth.alias("nth"), "*").withColumn("tile", F.xxhash64("nth", F.substring("minima", F.col("nth") * 8 + 1, F.lit(8))))
+    tiles = sets.select("sid", nth.alias("nth"), "minima").select("sid", "nth", F.xxhash64("nth", F.substring("minima", F.col("nth") * 8 + 1, F.lit(8))).alias("tile"))
+    counts = tiles.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    placed = tiles.join(counts, "tile").select("sid", "nth", "tile", blocks.alias("blocks"), F.pmod(F.xxhash64("sid", F.lit(3)), blocks).cast("int").alias("own"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other"))
+    part = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return each.select("sid", cell.alias("cell"), "nth", part.cast("int").alias("part"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
@@ -215,138 +235,244 @@ def _first_meeting(minima: np.ndarray, a: np.ndarray, b: np.ndarray, nth: np.nda
     return (minima[a] == minima[b]).argmax(1) == nth[a]
 
 
-def _candidates(tiles: DataFrame, t: float, hashes: int) -> DataFrame:
-    """Sets that have a pair within the bound, by tile; and groups of documents with equal sets (tile null)."""
+def _met(run_end: np.ndarray, size: np.ndarray, part: np.ndarray, nth: np.ndarray, minima: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each cell that are for it to settle, whose sizes allow similarity t."""
+    for a, b in _band_pairs(run_end, size, t):
+        ok = (part[a] == 0) | (part[a] != part[b])
+        a, b = a[ok], b[ok]
+        ok = _first_meeting(minima, a, b, nth)
+        yield a[ok], b[ok]
+
+
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows sorted by (cell, size, sid), each set of a cell once, and no cell of one set."""
+    cell, sid = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    once = np.concatenate([[True], (cell[1:] != cell[:-1]) | (sid[1:] != sid[:-1])])
+    if not once.all():
+        batch = batch.filter(pa.array(once))
+        cell = cell[once]
+    edge = np.concatenate([[True], cell[1:] != cell[:-1]])
+    alone = edge & np.append(edge[1:], True)
+    return batch.filter(pa.array(~alone)) if alone.any() else batch
+
+
+def _candidates(placed: DataFrame, t: float, hashes: int) -> DataFrame:
+    """cell, sid, nth, part and m of the sets that have a pair within the bound in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, 0):
-            tile = batch.column(0).to_numpy()
-            edge = np.concatenate([[True], tile[1:] != tile[:-1]])
-            alone = edge & np.append(edge[1:], True)
-            keep = np.flatnonzero(~alone)
-            if not len(keep):
+        for whole in _grouped(batches, 0):
+            batch = _once(whole)
+            if not batch.num_rows:
                 continue
-            batch = batch.take(pa.array(keep))
-            tile, size, sig, sig2, doc, nth = (batch.column(k).to_numpy() for k in range(6))
+            cell, size, _, nth, part = (batch.column(k).to_numpy() for k in range(5))
             size = size.astype(np.int64)
-            # equal sets stand next to each other, their least document first
-            new = np.concatenate([[True], (tile[1:] != tile[:-1]) | (sig[1:] != sig[:-1]) | (sig2[1:] != sig2[:-1]) | (size[1:] != size[:-1])])
-            head = np.flatnonzero(new)
-            last = np.append(head[1:], len(doc))
-            copies = np.flatnonzero((nth[head] == 0) & (last - head > 1))
-            minima = np.frombuffer(_bytes_of(batch.column(6))[0].tobytes(), np.uint64).reshape(-1, hashes)[head]
+            minima = np.frombuffer(_bytes_of(batch.column(6))[0].tobytes(), np.uint32).reshape(-1, hashes)
             data, at = _bytes_of(batch.column(7))
-            width = np.diff(at)[head]
-            data, at = np.ascontiguousarray(tk.gather(data, at[:-1][head], width)), np.concatenate([[0], np.cumsum(width)])
-            tile_h, size_h, nth_h = tile[head], size[head], nth[head]
-            run_end = np.searchsorted(tile_h, tile_h, "right")
-            hit = np.zeros(len(head), bool)
-            for a, b in _band_pairs(run_end, size_h, t):
-                ok = _first_meeting(minima, a, b, nth_h)
-                a, b = a[ok], b[ok]
-                ok = _bound(data, at, size_h, a, b) >= _least_overlap(size_h[a], size_h[b], t)
+            data = np.ascontiguousarray(data)
+            hit = np.zeros(len(cell), bool)
+            for a, b in _met(_run_ends(cell), size, part, nth, minima, t):
+                ok = _bound(data, at, size, a, b) >= _least_overlap(size[a], size[b], t)
                 hit[a[ok]] = hit[b[ok]] = True
-            pick = np.concatenate([np.flatnonzero(hit), copies])
-            if not len(pick):
-                continue
-            n = last[pick] - head[pick]
-            members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tk.gather(doc, head[pick], n)))
-            no_tile = np.arange(len(pick)) >= int(hit.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tile_h[pick], mask=no_tile), pa.array(doc[head[pick]]), pa.array(sig[head[pick]]), pa.array(sig2[head[pick]]), pa.array(nth_h[pick]), members],
-                names=["tile", "doc_id", "sig", "sig2", "nth", "members"],
-            )
+            if hit.any():
+                names = ["cell", "sid", "nth", "part", "m"]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)).filter(pa.array(hit)) for x in names], names=names)
 
-    sized = tiles.select("tile", "size", "sig", "sig2", "doc_id", "nth", "minima", "data").repartition("tile").sortWithinPartitions("tile", "size", "sig", "sig2", "doc_id")
-    return sized.mapInArrow(lambda batches: tk.released(run(batches)), "tile bigint, doc_id bigint, sig bigint, sig2 bigint, nth int, members array<bigint>")
+    sized = placed.select("cell", "size", "sid", "nth", "part", "m", "short", "data").repartition("cell").sortWithinPartitions("cell", "size", "sid")
+    return sized.mapInArrow(lambda batches: tk.released(run(batches)), "cell bigint, sid bigint, nth int, part int, m bigint")
 
 
-def _settle(shipped: DataFrame, t: float, hashes: int) -> DataFrame:
-    """Exact similarity of the pairs of each tile."""
+def _run_ends(cell: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cell, cell, "right")
+
+
+def _sparse_overlap(grams: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps of pairs of sorted sets: each gram of b is searched in a's."""
+    size = np.diff(at)
+    out = np.zeros(len(a), np.int64)
+    total = np.concatenate([[0], np.cumsum(size[b] + 1)])
+    p = 0
+    while p < len(a):
+        q = min(len(a), p + 60_000, max(p + 1, int(np.searchsorted(total, total[p] + (4 << 20), "right")) - 1))
+        rows, own = np.unique(a[p:q], return_inverse=True)
+        tag = np.uint64(48)
+        known = tk.gather(grams, at[rows], size[rows]) | np.repeat(np.arange(len(rows), dtype=np.uint64), size[rows]) << tag
+        n = size[b[p:q]]
+        asked = tk.gather(grams, at[b[p:q]], n) | np.repeat(own.astype(np.uint64), n) << tag
+        found = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        out[p:q] = np.add.reduceat(found.astype(np.int64), np.cumsum(n) - n)
+        p = q
+    return out
+
+
+class _Ranked:
+    """The sets of one cell as rows of bits, one for each gram that two of them have."""
+
+    def __init__(self, grams: np.ndarray, size: np.ndarray):
+        _, which, count = np.unique(grams, return_inverse=True, return_counts=True)
+        rank = np.cumsum(count > 1) - 1
+        shared = count[which] > 1
+        self.row, self.rank = np.repeat(np.arange(len(size)), size)[shared], rank[which[shared]]
+        self.rows, self.width = len(size), int(rank[-1]) + 1 if len(rank) else 0
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        step = max(512, (24 << 20) // max(1, self.rows) // 64 * 64)
+        for c in range(0, self.width, step):
+            here = (self.rank >= c) & (self.rank < c + step)
+            wide = -(-min(step, self.width - c) // 64) * 64
+            flags = np.zeros((self.rows, wide), np.uint8)
+            flags[self.row[here], self.rank[here] - c] = 1
+            bits = np.packbits(flags, axis=1).view(np.uint64)
+            block = max(1, (2 << 20) // bits.shape[1])
+            for p in range(0, len(a), block):
+                out[p : p + block] += np.bitwise_count(bits[a[p : p + block]] & bits[b[p : p + block]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row connected to each row."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _settle(shipped: DataFrame, t: float, hashes: int, pairs: bool) -> DataFrame:
+    """The similar pairs of each cell with their exact similarity, or the links of its sets."""
+
+    def similar(a: np.ndarray, b: np.ndarray, same: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        ok = same >= _least_overlap(size[a], size[b], t)
+        return a[ok], b[ok], same[ok] / (size[a[ok]] + size[b[ok]] - same[ok])
+
+    def listed(sid: np.ndarray, a: np.ndarray, b: np.ndarray, jac: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b]), pa.array(jac)], names=["a", "b", "jaccard"])
+
+    def settled(sid: np.ndarray, m: np.ndarray, found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        links, label = np.zeros(len(sid)), np.arange(len(sid))
+        for a, b, jac in found:
+            if pairs:
+                yield listed(sid, a, b, jac)
+            elif len(a):
+                links += np.bincount(a, m[b], len(sid)) + np.bincount(b, m[a], len(sid))
+                label = _roots(len(sid), np.append(a, np.arange(len(sid))), np.append(b, label))
+        some = np.flatnonzero(links > 0)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(sid[label[some]]), pa.array(links[some].astype(np.int64))], names=["sid", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, 0):
-            tile, size, doc, sig = (batch.column(k).to_numpy() for k in (0, 1, 2, 7))
-            once = np.concatenate([[True], (tile[1:] != tile[:-1]) | (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
-            if not once.all():  # a repeated row of one id and text
-                batch = batch.filter(pa.array(once))
-            tile, size, doc, nth = (batch.column(k).to_numpy() for k in range(4))
+        for whole in _grouped(batches, 0):
+            batch = _once(whole)
+            if not batch.num_rows:
+                continue
+            cell, size, sid, nth, part, m = (batch.column(k).to_numpy() for k in range(6))
             size = size.astype(np.int64)
-            minima = np.frombuffer(_bytes_of(batch.column(4))[0].tobytes(), np.uint64).reshape(-1, hashes)
-            raw, at = _bytes_of(batch.column(5))
+            minima = np.frombuffer(_bytes_of(batch.column(6))[0].tobytes(), np.uint32).reshape(-1, hashes)
+            raw, at = _bytes_of(batch.column(7))
             six = np.zeros((len(raw) // 6, 8), np.uint8)
             six[:, :6] = raw.reshape(-1, 6)
             grams, at = six.reshape(-1).view(np.uint64), at // 6
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for left, right in _band_pairs(np.searchsorted(tile, tile, "right"), size, t):
-                ok = _first_meeting(minima, left, right, nth)
-                left, right = left[ok], right[ok]
-                heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else []
-                for p, q in zip(heads, np.append(heads[1:], len(left)) if len(left) else []):
-                    i, js = left[p], right[p:q]
-                    own = grams[at[i] : at[i + 1]]
-                    # the rows of a tile are neighbours, so mostly one slice
-                    other = grams[at[js[0]] : at[js[-1] + 1]] if js[-1] - js[0] + 1 == len(js) else tk.gather(grams, at[:-1][js], size[js])
-                    found = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    same = np.add.reduceat((own[found] == other).astype(np.int64), np.cumsum(size[js]) - size[js])
-                    good = same >= _least_overlap(size[i], size[js], t)
-                    if good.any():
-                        out.append((np.full(int(good.sum()), i), js[good], same[good]))
-            if out:
-                a, b, same = (np.concatenate(x) for x in zip(*out))
-                jac = same / (size[a] + size[b] - same)
-                swap = doc[a] > doc[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                names = ["doc_id", "near_id", "jaccard", "docs", "near_docs"]
-                for p in range(0, len(a), 50_000):
-                    x, y = pa.array(a[p : p + 50_000]), pa.array(b[p : p + 50_000])
-                    yield pa.RecordBatch.from_arrays([batch.column(2).take(x), batch.column(2).take(y), pa.array(jac[p : p + 50_000]), batch.column(6).take(x), batch.column(6).take(y)], names=names)
-
-    picked = shipped.select("tile", "size", "doc_id", "nth", "minima", "data", "members", "sig").repartition("tile").sortWithinPartitions("tile", "size", "doc_id", "sig")
-    return picked.mapInArrow(lambda batches: tk.released(run(batches)), PAIR_SCHEMA)
-
-
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 8, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 400_000) -> DataFrame:
-    """Pairs of sets with Jaccard similarity of `threshold` or more, with all documents of each set.
-
-    A row is (doc_id, near_id, jaccard, docs, near_docs), doc_id and near_id being
-    the least documents of two sets. Documents with equal sets are one row more,
-    jaccard 1, with all of them in both lists and the two least as doc_id and
-    near_id; so each similar pair of documents is within a row, and rows grow
-    with sets, not with the square of copies.
-
-    The documents of candidate pairs are found again by a broadcast of their keys
-    up to broadcast_rows of them, and beyond by a shuffled join.
-
-    Nulls: documents without id or text are in no pair, nor are texts without a
-    letter or digit. Very long texts count whole. A repeated row is one more
-    document of its set; rows of one id with different texts are compared as
-    different documents. Similarity equal to the threshold counts. An empty
-    table gives no pair. Other columns are not read.
-    """
-    found = stage(_candidates(_tiles(_sketch(docs, text, doc_id, n, hashes, False), hashes), threshold, hashes), "jaccard")
-    keys = found.where("tile IS NOT NULL")
-    wanted = keys.select("doc_id").distinct()
-    own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    # a row of a key has about 40 bytes
-    few = rows_of(wanted, broadcast_rows)
-    near = own.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+            head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            tail = np.append(head[1:], len(cell))
+            little = np.flatnonzero(np.repeat(tail - head <= _SMALL, tail - head))
+            met = _met(_run_ends(cell[little]), size[little], part[little], nth[little], minima[little], t)
+            yield from settled(sid, m, (similar(little[a], little[b], _sparse_overlap(grams, at, little[a], little[b]), size) for a, b in met))
+            for x, y in zip(head.tolist(), tail.tolist()):
+                if y - x > _SMALL:
+                    ranked = _Ranked(grams[at[x] : at[y]], size[x:y])
+                    met = _met(np.full(y - x, y - x), size[x:y], part[x:y], nth[x:y], minima[x:y], t)
+                    yield from settled(sid[x:y], m[x:y], (similar(a, b, ranked.overlaps(a, b), size[x:y]) for a, b in met))
+
+    picked = shipped.select("cell", "size", "sid", "nth", "part", "m", "short", "data").repartition("cell").sortWithinPartitions("cell", "size", "sid")
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), PAIR_SCHEMA if pairs else LINK_SCHEMA)
+
+
+def _sets(docs: DataFrame, n: int, hashes: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """The documents (sid, doc_id, h), each once; and the sets: sid, their least document, its text's hash, number of documents m, size, minima, bitmap."""
+    sketch = stage(_sketch(docs, text, doc_id, n, hashes, False), "sketch")
+    members = sketch.select("sid", "doc_id", "h").distinct()
+    count = members.groupBy("sid").agg(F.count("*").alias("m"))
+    least = sketch.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "minima", "short", "data")])
+    return members, stage(least.join(count, "sid"), "sets")
+
+
+def _settled(docs: DataFrame, sets: DataFrame, threshold: float, n: int, hashes: int, text: str, doc_id: str, block_rows: int, broadcast_rows: int, pairs: bool) -> DataFrame:
+    light = _cells(sets.select("sid", "minima"), hashes, block_rows)
+    found = stage(_candidates(light.join(sets.select("sid", "size", "m", "short", "data"), "sid"), threshold, hashes), "cells")
+    wanted = found.select("sid").distinct().join(sets.select("sid", "rep.doc_id", "rep.h"), "sid").select("doc_id", "h")
+    wanted = stage(wanted, "wanted")
+    own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # a row has 16 bytes
+    near = own.join(F.broadcast(wanted) if rows_of(wanted, broadcast_rows) else wanted, ["doc_id", "h"], "left_semi")
     grams = _sketch(near, "text", "doc_id", n, hashes, True)
-    mates = keys.groupBy("doc_id", "sig", "sig2").agg(F.collect_list(F.struct("tile", "nth", "members")).alias("at"))
-    shipped = grams.join(F.broadcast(mates) if few else mates, ["doc_id", "sig", "sig2"]).select("doc_id", "sig", "size", "minima", "data", F.explode("at").alias("x")).select("doc_id", "sig", "size", "minima", "data", "x.*")
-    groups = found.where("tile IS NULL").select("doc_id", F.col("members")[1].alias("near_id"), F.lit(1.0).alias("jaccard"), F.col("members").alias("docs"), F.col("members").alias("near_docs"))
-    return _settle(shipped, threshold, hashes).unionByName(groups)
+    return _settle(grams.select("sid", "size", "short", "data").join(found, "sid"), threshold, hashes, pairs)
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 16, text: str = "text", doc_id: str = "doc_id", block_rows: int = 4096, broadcast_rows: int = 400_000) -> DataFrame:
+    """doc_id, near_id and jaccard: the pairs of different sets of similarity `threshold` or more, each by the least documents of the two; and each further document of a set beside its least one, at 1.
 
+    Cases are those of near_classes(). Two documents of one id that are similar
+    give a row with that id twice.
+    """
+    members, sets = _sets(docs, n, hashes, text, doc_id)
+    found = _settled(docs, sets, threshold, n, hashes, text, doc_id, block_rows, broadcast_rows, True)
+    name = sets.select("sid", F.col("rep.doc_id").alias("id"))
+    near = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("near_id"), "jaccard")
+    several = sets.where("m > 1").select("sid", "rep")
+    copies = members.join(several, "sid").where(F.struct("doc_id", "h") != F.col("rep")).select(F.col("rep.doc_id").alias("doc_id"), F.col("doc_id").alias("near_id"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(copies)
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, hashes: int, text: str, doc_id: str, block_rows: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, h, kept (the least document of the class) and n_links of each document with a link."""
+    members, sets = _sets(docs, n, hashes, text, doc_id)
+    found = stage(_settled(docs, sets, threshold, n, hashes, text, doc_id, block_rows, broadcast_rows, False), "links")
+    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    linked = components(found.select("sid", "root"), "sid", "root").select(F.col("node").alias("sid"), "component")
+    some = sets.select("sid", "rep", "m").join(links, "sid", "left").join(linked, "sid", "left").where("m > 1 OR links IS NOT NULL")
+    some = stage(some.select("sid", "rep", F.coalesce("component", "sid").alias("component"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
+    kept = some.groupBy("component").agg(F.min("rep").alias("kept"))
+    return members.join(some.join(kept, "component").select("sid", "kept", "n_links"), "sid").select("doc_id", "h", "kept", "n_links")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 16, text: str = "text", doc_id: str = "doc_id", block_rows: int = 4096, broadcast_rows: int = 400_000) -> DataFrame:
+    """doc_id, class_id and n_links: a row for each document that another one is similar to.
+
+    n_links is the number of other documents of Jaccard similarity `threshold` or
+    more; documents linked through any chain have one class, named by its least
+    doc_id. Documents without a link have no row.
+
+    A document is an id with a text: repeated rows of both are one document, and
+    rows of one id with different texts are compared as different documents, each
+    with a row. The texts of the documents in candidate pairs are found again by a
+    broadcast of their keys up to broadcast_rows of them, and beyond by a shuffled
+    join.
+
+    Nulls: documents without id or text have no row, nor have texts without a
+    letter or digit. Very long texts count whole. Similarity equal to the
+    threshold counts; the classes don't depend on the order of rows. An empty
+    table gives no row. Other columns are not read.
+    """
+    found = _classes(docs, threshold, n, hashes, text, doc_id, block_rows, broadcast_rows)
+    return found.select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links")
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node and the least node connected to it, by alternating large and small stars.
 
-    Each round is written to the shared folder; rounds grow with the logarithm of
-    a component's size.
+    Each round is written to the shared folder, until one changes nothing; rounds
+    grow with the logarithm of a component's size.
     """
     e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
         large = least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -359,39 +485,45 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 8, text: str = "text", doc_id: str = "doc_id", once: bool = False) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, hashes: int = 16, text: str = "text", doc_id: str = "doc_id", once: bool = False, broadcast_rows: int = 400_000) -> DataFrame:
     """The documents without those that are near another of lower id, through any chain of pairs.
 
-    A document is an id with a text, known by a 64-bit hash of both: rows of one id
-    with different texts stay or go each on their own, and of those that are near
-    each other one stays. Repeated rows of one id and text stay or go together;
-    with `once`, one row of each is left. Documents that are in no pair, as those
-    without id or text, stay.
+    A document is an id with a text, known by the id and a 64-bit hash of the text:
+    rows of one id with different texts stay or go each on their own, and of those
+    that are near each other one stays. Repeated rows of one id and text stay or go
+    together; with `once`, one row of each is left, the least by its other columns.
+
+    Nulls: documents without id or text, or without a letter or digit in it, are
+    near no other and stay. Very long texts count whole. Of a class the least id
+    stays, and of equal ids the least hash. An empty table gives an empty table.
+    Other columns pass through, whatever their names.
     """
     own, words = F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`").cast("string")
-    node = F.when(own.isNotNull() & words.isNotNull(), F.xxhash64(own, words))
-    pairs = stage(jaccard_pairs(docs.select(node.alias("doc_id"), words.alias("text")), threshold, n, hashes), "pairs")
-    stars = pairs.select("doc_id", F.explode("docs").alias("o")).unionByName(pairs.select("doc_id", F.explode("near_docs").alias("o")))
-    linked = components(stars, "doc_id", "o").where("node <> component")
-    members = stage(linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct()), "members")
-    few = rows_of(members, 1_000_000)
-    named = docs.select(node.alias("node"), own.alias("id")).join(F.broadcast(members) if few else members, "node").distinct()
-    # the least id of a group, which the least node needn't be
-    least = named.groupBy("component").agg(F.min(F.struct("id", "node"))["node"].alias("node"))
-    gone = stage(members.join(least, ["component", "node"], "left_anti").select(F.col("node").alias("_gone")), "gone")
-    left = docs.join(F.broadcast(gone) if few else gone, node == F.col("_gone"), "left_anti")
+    i, h = _free(docs.columns, 2)
+
+    def keyed(rows: DataFrame) -> tuple[DataFrame, Column]:
+        side = F.broadcast(rows) if rows_of(rows, broadcast_rows) else rows
+        return side, (own == F.col(i)) & (F.xxhash64(words) == F.col(h))
+
+    found = _classes(docs, threshold, n, hashes, text, doc_id, 4096, broadcast_rows)
+    gone = stage(found.where(F.struct("doc_id", "h") != F.col("kept")).select(F.col("doc_id").alias(i), F.col("h").alias(h)), "gone")
+    left = docs.join(*keyed(gone), "left_anti")
     if not once:
         return left
-    copied = stage(docs.groupBy(node.alias("_copied")).agg(F.count("*").alias("n")).where("_copied IS NOT NULL AND n > 1").select("_copied"), "copied")
-    side = F.broadcast(copied) if rows_of(copied, 1_000_000) else copied
-    nth = _free(docs.columns)
-    order = Window.partitionBy(node).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
-    first = left.join(side, node == F.col("_copied"), "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
-    return left.join(side, node == F.col("_copied"), "left_anti").unionByName(first)
-
-
-def _free(columns: list[str]) -> str:
-    name = "_nth"
-    while name in {c.lower() for c in columns}:
-        name += "_"
-    return name
+    copied = stage(docs.where(own.isNotNull() & words.isNotNull()).groupBy(own.alias(i), F.xxhash64(words).alias(h)).agg(F.count("*").alias("n")).where("n > 1").select(i, h), "copied")
+    row = _free(docs.columns, 3)[2]
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    again = left.join(*keyed(copied), "left_semi").groupBy(own.alias(i), F.xxhash64(words).alias(h))
+    first = again.agg(F.min_by(F.struct(*every), order).alias(row)).select(f"{row}.*")
+    return left.join(*keyed(copied), "left_anti").unionByName(first)
+
+
+def _free(columns: list[str], n: int) -> list[str]:
+    """Names that the columns don't have."""
+    taken, out, k = {c.lower() for c in columns}, [], 0
+    while len(out) < n:
+        if (name := f"_x{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out

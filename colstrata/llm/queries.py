@@ -48,7 +48,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(_docs(spark, sf_dir))
+    return jaccard.near_classes(_docs(spark, sf_dir))
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
