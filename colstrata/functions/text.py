@@ -24,32 +24,46 @@ def config_sizes(config: Column) -> tuple[Column, Column]:
     return get("hidden_size", "d_model"), longest
 
 
+#: A token has no more than so many bytes in any vocabulary that matters.
+BYTES_PER_TOKEN = 8
+
+
+def pre_truncate(text: Column, max_tokens: int) -> Column:
+    """The text cut, at a whole character, where it must have more than max_tokens tokens already."""
+    return truncate_bytes(text, max_tokens * BYTES_PER_TOKEN)
+
+
+def truncate_tokens(ids: Column, max_tokens: int) -> Column:
+    """The first max_tokens of a list of token ids."""
+    return F.slice(ids, 1, max_tokens)
+
+
 @dataclass(frozen=True)
 class Model:
-    """A remote model: its provider and the length of its vectors."""
+    """A remote model: its provider, the length of its vectors and of its longest input in tokens."""
 
     provider: str
     name: str
     dims: int
+    max_input: int = 8192
 
 
-MODELS = {
-    (m.provider, m.name): m
-    for m in [
-        Model("openai", "text-embedding-ada-002", 1536),
-        Model("openai", "text-embedding-3-small", 1536),
-        Model("openai", "text-embedding-3-large", 3072),
-        Model("voyage", "voyage-3-large", 1024),
-        Model("voyage", "voyage-3.5", 1024),
-        Model("voyage", "voyage-3.5-lite", 1024),
-        Model("voyage", "voyage-code-3", 1024),
-        Model("voyage", "voyage-large-2", 1536),
-        Model("jina", "jina-embeddings-v3", 1024),
-        Model("jina", "jina-embeddings-v4", 2048),
-        Model("jina", "jina-embeddings-v2-base-en", 768),
-        Model("jina", "jina-clip-v2", 1024),
-    ]
-}
+def _models() -> dict[tuple[str, str], Model]:
+    sizes = {
+        "openai": {"text-embedding-ada-002": 1536, "text-embedding-3-small": 1536, "text-embedding-3-large": 3072},
+        "voyage": dict.fromkeys(("voyage-3-large", "voyage-3.5", "voyage-3.5-lite", "voyage-code-3", "voyage-finance-2", "voyage-law-2"), 1024) | {"voyage-code-2": 1536},
+        "jina": {"jina-embeddings-v4": 2048, "jina-clip-v2": 1024, "jina-embeddings-v3": 1024, "jina-clip-v1": 768, "jina-colbert-v2": 128, "jina-colbert-v1-en": 128}
+        | {f"jina-embeddings-v2-base-{x}": 768 for x in ("en", "es", "de", "zh", "code")},
+    }
+    longer = {"jina-embeddings-v4": 32_000, "voyage-law-2": 16_000, "voyage-code-2": 16_000}
+
+    def most(provider: str, name: str) -> int:
+        return longer.get(name, 32_000 if provider == "voyage" else 8192)
+
+    return {(p, n): Model(p, n, d, most(p, n)) for p, of in sizes.items() for n, d in of.items()}
+
+
+MODELS = _models()
 PROVIDERS = ("openai", "voyage", "jina")
 
 
@@ -71,6 +85,13 @@ def dispatch(model_id: str, api_url: str | None = None) -> tuple[str, str]:
     return "local", model_id
 
 
+def limits(model_id: str, api_url: str | None = None) -> tuple[int | None, int | None]:
+    """Length of vectors and longest input of a model; a remote one that isn't known takes 8,192 tokens."""
+    provider, name = dispatch(model_id, api_url)
+    known = MODELS.get((provider, name))
+    return (None, None) if provider == "local" else (known.dims, known.max_input) if known else (None, 8192)
+
+
 def valid_key(key: str) -> bool:
     """Whether a key is there and without outer white space."""
     return bool(key) and key == key.strip()

@@ -8,9 +8,12 @@ many queries and moves all beams at once, so distances are batched products.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
+from .quantile import Discovery
+
 _NONE = np.int32(-1)
 _BEAM_BYTES = 24 << 20
 
@@ -27,12 +30,18 @@ def _distances(vectors: np.ndarray, norms: np.ndarray, at: np.ndarray, queries:
     return norms[at] - 2 * np.matmul(vectors[at], queries[:, :, None])[:, :, 0]
 
 
-def beam_search(vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, fan: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The ef nearest places found for each query, with distances; -1 and infinity beyond."""
+def beam_search(
+    vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, fan: int = 4, stop: Callable[[], Discovery] | None = None, stats: dict[str, int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ef nearest places found for each query, with distances; -1 and infinity beyond.
+
+    stop: makes what tells when a query has found enough. stats: gets the number of
+    distances that were computed.
+    """
     n, width = links.shape
     step = max(1, _BEAM_BYTES // max(n * 3, fan * width * vectors.shape[1] * 4))
     if len(queries) > step:
-        parts = [beam_search(vectors, norms, links, queries[a : a + step], entry[a : a + step], ef, fan) for a in range(0, len(queries), step)]
+        parts = [beam_search(vectors, norms, links, queries[a : a + step], entry[a : a + step], ef, fan, stop, stats) for a in range(0, len(queries), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     m = len(queries)
     out_i, out_d = np.full((m, ef), -1, np.int64), np.full((m, ef), np.inf, np.float32)
@@ -44,8 +53,8 @@ def beam_search(vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, queri
     seen, stamp = np.zeros((m, n), bool), np.zeros((m, n), np.int16)
     seen[np.arange(m), entry] = True
     live, q = np.arange(m), queries
+    tellers = [stop() for _ in range(m)] if stop is not None else []
     while len(live):
-        rows = np.arange(len(live))[:, None]
         # the nearest open places come first, as the beam is sorted
         pick = np.argsort(~open_, axis=1, kind="stable")[:, :fan]
         at = np.where(np.take_along_axis(open_, pick, 1), np.take_along_axis(place, pick, 1), -1)
@@ -61,18 +70,23 @@ def beam_search(vectors: np.ndarray, norms: np.ndarray, links: np.ndarray, queri
         ok[r[~keep], c[~keep]] = False
         seen[live[r], new[r, c]] = True
         d = np.where(ok, _distances(vectors, norms, safe, q), np.inf)
+        if stats is not None:
+            stats["distances"] = stats.get("distances", 0) + int(ok.sum())
+        full, looked_at = np.isfinite(dist[:, -1]), ok.sum(1)
         all_d = np.concatenate([dist, d], 1)
         best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
         best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, 1), axis=1, kind="stable"), 1)
         dist = np.take_along_axis(all_d, best, 1)
         place = np.take_along_axis(np.concatenate([place, np.where(ok, new, -1)], 1), best, 1)
         open_ = np.take_along_axis(np.concatenate([open_, ok], 1), best, 1)
+        for r in np.flatnonzero(full).tolist() if tellers else ():
+            if tellers[live[r]].done(int((best[r] >= ef).sum()), int(looked_at[r])):
+                open_[r] = False
         going = open_.any(1)
         if not going.all():
             done = live[~going]
             out_i[done], out_d[done] = place[~going], dist[~going]
             live, place, dist, open_, q = live[going], place[going], dist[going], open_[going], q[going]
-        del rows
     return out_i, out_d
 
 
@@ -187,13 +201,13 @@ def descend(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, ef: i
     return node
 
 
-def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+def search_graph(vectors: np.ndarray, layers: list[Layer], queries: np.ndarray, ef: int, stop: Callable[[], Discovery] | None = None, stats: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ef nearest nodes found for each query and their squared distances; -1 and infinity beyond."""
     base = layers[-1]
     x = vectors[base.nodes]
     where = np.empty(len(vectors), np.int64)
     where[base.nodes] = np.arange(len(vectors))
     node = descend(vectors, layers[:-1], queries, 1) if len(layers) > 1 else np.full(len(queries), base.nodes[0])
-    i, d = beam_search(x, (x * x).sum(1), base.links, queries, where[node], ef)
+    i, d = beam_search(x, (x * x).sum(1), base.links, queries, where[node], ef, stop=stop, stats=stats)
     d = d + (queries * queries).sum(1)[:, None]
     return np.where(i >= 0, base.nodes[i], -1), np.maximum(d, 0)

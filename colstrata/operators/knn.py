@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vectors as vec
+
 #: Rows of vectors in a block; a task holds two blocks.
 BLOCK_ROWS = 20_000
 
@@ -138,43 +140,62 @@ class RaBitQ:
         return n[:, None] ** 2 + norm[None, :] ** 2 - scale * est, scale * wide
 
 
-def rabitq_top_k(table: DataFrame, k: int, rerank: int = 8, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, vec_id and dist of the k nearest: k * rerank by the estimate in each pair of blocks, then exact."""
-    import pandas as pd  # noqa: F401  (grouped Arrow functions need it at run time)
+def rabitq_top_k(table: DataFrame, k: int, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, vec_id and dist of the k nearest, from codes whose error bounds decide which vectors are looked at.
 
+    Vectors are encoded once. Each pair of blocks compares queries with codes, and
+    reports those whose least possible distance is no more than the k-th of the
+    greatest possible ones in the block; once all blocks are known, the k-th
+    greatest of all leaves still fewer, and only these are joined to their vectors
+    for exact distances. Vectors don't travel with the codes.
+    """
     rows = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     if dims is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, dist double")
+    rows = rows.where(F.size("v") == dims)
     mean = rows.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("p").collect()
     coder = RaBitQ(dims, np.array([r["m"] for r in mean]))
     blocks = max(1, -(-rows.count() // block_rows))
     span = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(span).alias("db"))
-    right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("db"), F.explode(span).alias("qb"))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
+
+    def encode(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+            packed, norm, corr = coder.encode(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(norm), pa.array(corr), pa.array((x * x).sum(1))], names=["id", "code", "norm", "corr", "square"])
+
+    coded = rows.mapInArrow(encode, "id bigint, code binary, norm double, corr double, square double")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    left = rows.select("id", "v", block.alias("qb"), F.explode(span).alias("db"))
+    right = coded.select("*", block.alias("db"), F.explode(span).alias("qb"))
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
-        qi, xi, q, x = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a, "v"), _matrix(b, "v")
-        stored = coder.encode(x)
+        qi, xi, q = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a, "v")
+        codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(xi), -1)
+        norm, corr, square = (b.column(c).to_numpy() for c in ("norm", "corr", "square"))
         parts = []
         for s in range(0, len(qi), 512):
-            est, _ = coder.estimate(q[s : s + 512], *stored)
+            est, wide = coder.estimate(q[s : s + 512], codes, norm, corr)
             if metric == "ip":
-                est = 1 - ((q[s : s + 512] ** 2).sum(1)[:, None] + (x * x).sum(1)[None, :] - est) / 2
+                est, wide = 1 - ((q[s : s + 512] ** 2).sum(1)[:, None] + square[None, :] - est) / 2, wide / 2
             est[qi[s : s + 512][:, None] == xi[None, :]] = np.inf
-            n = min(k * rerank, len(xi))
-            c = np.argpartition(est, n - 1, axis=1)[:, :n]
-            r = np.repeat(np.arange(len(c)), n)
-            c = c.reshape(-1)
-            keep = np.isfinite(est[r, c])
-            r, c = r[keep], c[keep]
-            d = ((q[s + r] - x[c]) ** 2).sum(1) if metric == "l2" else 1 - (q[s + r] * x[c]).sum(1)
-            parts.append((qi[s + r], xi[c], np.round(d, 6) + 0.0))
+            n = min(k, len(xi))
+            least = np.partition(est + wide, n - 1, axis=1)[:, n - 1]
+            r, c = np.nonzero((est - wide <= least[:, None]) & np.isfinite(est))
+            parts.append((qi[s + r], xi[c], (est - wide)[r, c], (est + wide)[r, c]))
         return pa.table([np.concatenate(p) for p in zip(*parts)], schema=out)
 
-    found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(compare, "query_id bigint, vec_id bigint, dist double")
+    found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(compare, "query_id bigint, vec_id bigint, low double, high double")
+    by_high = F.row_number().over(Window.partitionBy("query_id").orderBy("high", "vec_id"))
+    if blocks > 1:
+        most = found.withColumn("nth", by_high).where(F.col("nth") <= k).groupBy("query_id").agg(F.max("high").alias("most"))
+        found = found.join(most, "query_id").where("low <= most")
+    x, y = rows.select(F.col("id").alias("query_id"), F.col("v").alias("q")), rows.select(F.col("id").alias("vec_id"), F.col("v").alias("x"))
+    exact = vec.l2(F.col("q"), F.col("x")) if metric == "l2" else vec.inner_product(F.col("q"), F.col("x"))
+    near = found.select("query_id", "vec_id").join(x, "query_id").join(y, "vec_id").select("query_id", "vec_id", (F.round(exact, 6) + F.lit(0.0)).alias("dist"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    return near.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Written with each index; readers take this version and earlier ones.
+STORAGE_VERSION = 1
+
+
 def build(table: DataFrame, key: str, value: str) -> DataFrame:
     """The posting table of a column; an array column has a posting for each element.
 
@@ -27,6 +31,26 @@ def build(table: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def write(postings: DataFrame, path: str, row_group_bytes: int = 8 << 20) -> None:
+    """The posting table as Parquet in ranges of values, each file sorted, so a lookup skips all row groups but those of its values."""
+    ordered = postings.repartitionByRange("value", "min_rid").sortWithinPartitions("value", "min_rid")
+    ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A posting table as written; ids are read only where a query asks for them."""
+    found = spark.read.parquet(path)
+    missing = {"value", "n", "min_rid", "max_rid", "rids"} - set(found.columns)
+    if missing:
+        raise ValueError(f"no posting table in {path}: without {', '.join(sorted(missing))}")
+    return found
+
+
+def merged_floats(postings: DataFrame, digits: int = 6) -> DataFrame:
+    """value and n of a float column's postings, values that agree in `digits` decimals being one."""
+    return postings.groupBy(F.round(F.col("value").cast("double"), digits).alias("value")).agg(F.sum("n").alias("n"))
+
+
 def rows(postings: DataFrame, test: Column) -> DataFrame:
     """rid: distinct row ids of the values that pass."""
     return postings.where(test).select(F.explode("rids").alias("rid")).distinct()
@@ -75,6 +99,8 @@ class Registry:
 
     def __init__(self, columns: Sequence[str]):
         self.enabled = dict.fromkeys(columns, True)
+        self.path: str | None = None
+        self.changed = True
 
     @staticmethod
     def parent(name: str) -> str:
@@ -88,6 +114,40 @@ class Registry:
         return None
 
     def column_updated(self, name: str) -> None:
-        for x in self.enabled:
-            if x == name or self.parent(x) == self.parent(name):
-                self.enabled[x] = False
+        """The column's index is out of date; of a JSON path, those of all paths of its column."""
+        if not self.enabled.get(name):
+            return
+        self.changed = True
+        self.enabled[name] = False
+        if name != self.parent(name):
+            for x in self.enabled:
+                if x != self.parent(x) and self.parent(x) == self.parent(name):
+                    self.enabled[x] = False
+
+    def info(self, kinds: dict[str, str] | None = None) -> list[tuple[str, str | None, bool]]:
+        """Name, kind and whether it is enabled, of each column."""
+        return [(x, (kinds or {}).get(x), e) for x, e in self.enabled.items()]
+
+    def save(self, spark: SparkSession, path: str) -> bool:
+        """Writes what is enabled beside the index, if that has changed since it was read; whether it was written."""
+        if not self.changed:
+            return False
+        rows = [(STORAGE_VERSION, x, e) for x, e in self.enabled.items()]
+        spark.createDataFrame(rows, "version int, attr string, enabled boolean").coalesce(1).write.mode("overwrite").parquet(path)
+        self.path, self.changed = path, False
+        return True
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Registry:
+        """What was saved; an index of a later version than this one is an error."""
+        found = spark.read.parquet(path).collect()  # a row for each indexed column
+        if any(r["version"] > STORAGE_VERSION for r in found):
+            raise ValueError(f"the index in {path} is of a later version")
+        out = cls([r["attr"] for r in found])
+        out.enabled = {r["attr"]: r["enabled"] for r in found}
+        out.path, out.changed = path, False
+        return out
+
+    def moved(self, path: str) -> None:
+        """The index lies in another folder now."""
+        self.path = path

@@ -1,4 +1,4 @@
-"""The P-square estimator of a quantile: five markers, one pass, constant memory."""
+"""The P-square estimator of a quantile: five markers, one pass, constant memory; and a form over windows."""
 
 from __future__ import annotations
 
@@ -45,3 +45,43 @@ class PSquare:
         if not self.n:
             return None
         return self.q[2] if self.n > 5 else float(np.quantile(self.q, self.p))
+
+
+class WindowedPSquare:
+    """A quantile of recent values: that of the window under way and of the one before, weighted by how full the first is."""
+
+    def __init__(self, p: float, window: int):
+        if window < 1:
+            raise ValueError("a window holds a value at least")
+        self.p, self.window, self.n = p, window, 0
+        self.now, self.before = PSquare(p), 0.0
+
+    def add(self, x: float) -> None:
+        self.now.add(x)
+        self.n += 1
+        if self.now.n == self.window:
+            self.before, self.now = self.now.value(), PSquare(self.p)
+
+    def value(self) -> float:
+        if not self.n:
+            return 0.0
+        if self.n < self.window:
+            return self.now.value()
+        share = self.now.n / self.window
+        return self.before if not self.now.n else (1 - share) * self.before + share * self.now.value()
+
+
+class Discovery:
+    """When a search has stopped finding: its rate of new places among those it looked at lies below a low quantile of its own rates, `patience` rounds running."""
+
+    def __init__(self, ef: int, quantile: float = 0.2, window: int = 32):
+        self.rates = WindowedPSquare(quantile, window)
+        self.patience = 9 if ef <= 800 else 8 if ef <= 2000 else 7 if ef <= 4000 else 6
+        self.poor = 0
+
+    def done(self, found: int, looked_at: int) -> bool:
+        """Tells of a round of a search whose beam is full, and gets whether it was the last."""
+        rate = found / (looked_at + 1e-9)
+        self.poor = self.poor + 1 if rate < self.rates.value() else 0
+        self.rates.add(rate)
+        return self.poor >= self.patience

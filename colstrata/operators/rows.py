@@ -54,7 +54,6 @@ def early_reject(stats: DataFrame, low, high) -> DataFrame:
     return s.select(F.coalesce((F.col("most") < low) | (F.col("least") > high), F.lit(True)).alias("rejected"))
 
 
-def prune(table: DataFrame, stats: DataFrame, key: str, column: str, low, high, block: int = BLOCK) -> DataFrame:
-    """Rows within [low, high], read from matching blocks alone."""
-    hit = matching_blocks(stats, low, high).select("block")
-    return table.withColumn("block", F.floor(F.col(key) / block).cast("bigint")).join(hit, "block", "left_semi").where(F.col(column).between(low, high)).drop("block")
+def prune(table: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows within [low, high]: the bounds go to the scan, which skips the row groups whose statistics rule them out."""
+    return table.where(F.col(column).between(low, high))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.filters import Filter, all_of, is_degenerate, prune_values, to_column
-from ..operators import embed, knn, postings, quantile, rows
-from ..sources import tables
+from ..operators import embed, knn, postings, quantile, rows, vector_index
+from ..sources import check, tables
+from ..sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -189,12 +193,13 @@ def _(spark, sf):
 
 @_add("block_prune", "SELECT event_id, value FROM events WHERE value BETWEEN 60 AND 1000")
 def _(spark, sf):
-    return rows.prune(tables.table(spark, sf, "events"), _stats(spark, sf), "event_id", "value", 60.0, 1000.0).select("event_id", "value")
+    return rows.prune(tables.table(spark, sf, "events"), "value", 60.0, 1000.0).select("event_id", "value")
 
 
 @_add("early_reject", "SELECT coalesce(max(value) < 1e9 OR min(value) > 2e9, true) AS rejected FROM events")
 def _(spark, sf):
-    return rows.early_reject(_stats(spark, sf), 1e9, 2e9)
+    # the footers alone are read
+    return check.footer_reject(check.footers(spark, f"{sf}/events.parquet", "value"), 1e9, 2e9)
 
 
 @_add("estimate_minmax", f"WITH {_BLOCKS} SELECT count(*) FILTER (WHERE most >= 60 AND least <= 1000)::BIGINT AS blocks, coalesce(sum(rows) FILTER (WHERE most >= 60 AND least <= 1000), 0)::BIGINT AS rows FROM b")
@@ -202,15 +207,35 @@ def _(spark, sf):
     return rows.estimate_rows(_stats(spark, sf), 60.0, 1000.0)
 
 
-# -- posting tables
+# -- posting tables, stored once for each session and table, and read by every query
+
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of an index of this session, written where it isn't yet."""
+    at = (spark.sparkContext.applicationId, shared_folder(spark), sf, name)
+    if at not in _STORED:
+        path = f"{shared_folder(spark)}/colstrata/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[at] = path
+    return _STORED[at]
+
+
+def _index(spark, sf, name, make):
+    return postings.read(spark, _stored(spark, sf, name, lambda path: postings.write(make(), path)))
+
+
+def _event_index(spark, sf, column):
+    return _index(spark, sf, f"events-{column}", lambda: postings.build(tables.table(spark, sf, "events"), "event_id", column))
 
 
 def _user_index(spark, sf):
-    return postings.build(tables.table(spark, sf, "events"), "event_id", "user_id")
+    return _event_index(spark, sf, "user_id")
 
 
 def _set_index(spark, sf):
-    return postings.build(_sets(spark, sf), "o_orderkey", "supps")
+    return _index(spark, sf, "orders-supps", lambda: postings.build(_sets(spark, sf), "o_orderkey", "supps"))
 
 
 def _value_in(*v):
@@ -235,12 +260,12 @@ def _(spark, sf):
 
 @_add("si_string", "SELECT event_id AS rid FROM events WHERE event_type = 'click'")
 def _(spark, sf):
-    return postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "event_type"), _value_in("click"))
+    return postings.rows(_event_index(spark, sf, "event_type"), _value_in("click"))
 
 
 @_add("si_notnull", "SELECT event_id AS rid FROM events WHERE value IS NOT NULL")
 def _(spark, sf):
-    return postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "value"), F.lit(True))
+    return postings.rows(_event_index(spark, sf, "value"), F.lit(True))
 
 
 @_add("si_exclude", "SELECT event_id AS rid FROM events WHERE user_id NOT IN (3, 8, 46)")
@@ -261,7 +286,7 @@ def _(spark, sf):
 @_add("si_union", "SELECT event_id AS rid FROM events WHERE user_id BETWEEN 10 AND 30 OR event_type = 'error'")
 def _(spark, sf):
     a = postings.rows(_user_index(spark, sf), F.col("value").between(10, 30))
-    b = postings.rows(postings.build(tables.table(spark, sf, "events"), "event_id", "event_type"), _value_in("error"))
+    b = postings.rows(_event_index(spark, sf, "event_type"), _value_in("error"))
     return a.union(b).distinct()
 
 
@@ -308,17 +333,20 @@ def _(spark, sf):
     return postings.rows(p, to_column(f))
 
 
-@_add("si_float", "SELECT CAST(value AS FLOAT)::DOUBLE AS value, count(*)::BIGINT AS n FROM events GROUP BY CAST(value AS FLOAT)")
+@_add("si_float", "SELECT round(CAST(value AS FLOAT)::DOUBLE, 3) AS value, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def _(spark, sf):
     t = tables.table(spark, sf, "events").select("event_id", F.col("value").cast("float").alias("value"))
-    return postings.build(t, "event_id", "value").groupBy("value").agg(F.sum("n").alias("n")).select(F.col("value").cast("double").alias("value"), "n")
+    return postings.merged_floats(_index(spark, sf, "events-float", lambda: postings.build(t, "event_id", "value")), 3)
 
 
-@_add("si_enabled", "SELECT * FROM (VALUES ('price', true), ('props', false), ('props[''k'']', false)) t(attr, enabled)")
+@_add("si_enabled", "SELECT * FROM (VALUES ('price', true), ('props', true), ('props[''k'']', false), ('props[''x'']', false)) t(attr, enabled)")
 def _(spark, sf):
-    r = postings.Registry(["price", "props", "props['k']"])
-    r.column_updated("props")
-    return spark.createDataFrame(list(r.enabled.items()), "attr string, enabled boolean")
+    r = postings.Registry(["price", "props", "props['k']", "props['x']"])
+    r.column_updated("props['k']")
+    path = f"{shared_folder(spark)}/colstrata/enabled-{uuid.uuid4().hex}"
+    r.save(spark, path)
+    kept = postings.Registry.load(spark, path)
+    return spark.createDataFrame([(x, e) for x, _, e in kept.info()], "attr string, enabled boolean")
 
 
 @_add("si_attr_info", "SELECT 'user_id' AS attr, 'bigint' AS type, count(DISTINCT user_id)::BIGINT AS values, min(user_id) AS least, max(user_id) AS most FROM events")
@@ -336,23 +364,26 @@ def _(spark, sf):
     return one.select(F.explode(F.array(*infos)).alias("x")).select("x.*")
 
 
-@_add("check_secondary", "SELECT user_id AS value, event_id AS rid, 0::BIGINT AS surplus FROM events WHERE false")
+@_add("check_secondary", "SELECT user_id AS value, event_id AS rid, 1::BIGINT AS surplus FROM events WHERE event_type = 'error' UNION ALL SELECT user_id + 1, event_id, -1::BIGINT FROM events WHERE event_type = 'error'")
 def _(spark, sf):
-    return postings.mismatches(_user_index(spark, sf), tables.table(spark, sf, "events"), "event_id", "user_id")
+    # an index of what some rows don't hold any more
+    t = tables.table(spark, sf, "events")
+    old = t.withColumn("user_id", F.when(F.col("event_type") == "error", F.col("user_id") + 1).otherwise(F.col("user_id")))
+    stale = _index(spark, sf, "events-stale", lambda: postings.build(old, "event_id", "user_id"))
+    return postings.mismatches(stale, t, "event_id", "user_id")
 
 
-@_add("check_columnar", "SELECT count(*)::BIGINT AS rows, count(DISTINCT event_id)::BIGINT AS ids, min(event_id) AS least_id, max(event_id) AS most_id, count(*) FILTER (WHERE value IS NULL OR isnan(value))::BIGINT AS bad_values FROM events")
+@_add("check_table", "SELECT event_id // 65536 AS block, 'value' AS attr, 'not a number' AS problem, count(*)::BIGINT AS n FROM events WHERE event_type = 'error' GROUP BY 1 UNION ALL SELECT (event_id + 1000000000) // 65536, 'event_id', 'repeated id', count(*)::BIGINT FROM (SELECT event_id FROM events WHERE event_type = 'click') GROUP BY 1")
 def _(spark, sf):
-    return tables.table(spark, sf, "events").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.min("event_id").alias("least_id"), F.max("event_id").alias("most_id"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("bad_values"))
+    # all events, with bad numbers in some, and some a second time under ids that repeat
+    t = tables.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), "event_type")
+    twice = t.where("event_type = 'click'").withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    return check.check_table(t.unionByName(twice).unionByName(twice), "event_id")
 
 
 @_add("sink_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
 def _(spark, sf):
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colstrata-")
-    path = f"{folder}/colstrata/orders-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/colstrata/orders-{uuid.uuid4().hex}"
     tables.write(tables.table(spark, sf, "orders"), path, sort="o_orderkey")
     return tables.read(spark, path).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
@@ -418,6 +449,32 @@ def _(spark, sf):
     return knn.top_k(_iv(e), _iv(e.where(to_column(Filter("label", values=(1, 3)), e.schema))), 10, "l2")
 
 
+# -- the stored graphs; with a beam this wide they find all of the nearest here
+
+
+def _graphs(spark, sf):
+    return _stored(spark, sf, "embeddings-l2", lambda path: vector_index.write(_emb(spark, sf), path, "l2", shard_rows=2_000))
+
+
+@_add("knn_graph", _knn_sql(_L2))
+def _(spark, sf):
+    found = vector_index.search(spark, _graphs(spark, sf), _iv(_emb(spark, sf)), 10, ef=400, same_set=True)
+    return found.select("query_id", "vec_id", "dist")
+
+
+@_add("knn_graph_filtered", _knn_sql(_L2, "AND b.label IN (1, 3, 5, 7, 9)"))
+def _(spark, sf):
+    e = _emb(spark, sf)
+    among = e.where(to_column(Filter("label", values=(1, 3, 5, 7, 9)), e.schema)).select("vec_id")
+    return vector_index.search(spark, _graphs(spark, sf), _iv(e), 10, ef=400, among=among, same_set=True).select("query_id", "vec_id", "dist")
+
+
+@_add("knn_graph_stats")
+def _(spark, sf):
+    found = vector_index.search(spark, _graphs(spark, sf), _iv(_emb(spark, sf)), 20, ef=64, early=True, same_set=True)
+    return found.groupBy("way").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("found"), F.max("distances").alias("most_distances"))
+
+
 @_add("knn_rowid_order", _knn_sql(_L2) + " ORDER BY query_id, vec_id")
 def _(spark, sf):
     e = _iv(_emb(spark, sf))
@@ -516,27 +573,17 @@ def _(spark, sf):
 
 @_add("quantile_p2")
 def _(spark, sf):
-    def run(key, batches):
-        import pyarrow as pa
-
-        est, n = quantile.PSquare(0.9), 0
+    # the rows of a group stream through its markers, a batch at a time
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, recent, kind = quantile.PSquare(0.9), quantile.WindowedPSquare(0.9, 128), None
         for b in batches:
-            for x in b.column(0).to_pylist():
-                if x is not None:
-                    est.add(x)
-                    n += 1
-        yield pa.RecordBatch.from_pydict({"event_type": [key[0].as_py()], "n": [n], "q90": [est.value()]}, pa.schema([("event_type", pa.string()), ("n", pa.int64()), ("q90", pa.float64())]))
-
-    # rows of a group stream through its five markers
-    def grouped(key, table):
-        return pa_concat(run(key, table.to_batches()))
-
-    def pa_concat(parts):
-        import pyarrow as pa
+            kind = kind or b.column(1)[0].as_py()
+            for x in b.column(0).drop_null().to_pylist():
+                whole.add(x)
+                recent.add(x)
+        yield pa.RecordBatch.from_pydict({"event_type": [kind], "n": [whole.n], "q90": [whole.value()], "recent_q90": [recent.value()]}, pa.schema([("event_type", pa.string()), ("n", pa.int64()), ("q90", pa.float64()), ("recent_q90", pa.float64())]))
 
-        return pa.Table.from_batches(list(parts))
-
-    return tables.table(spark, sf, "events").select("value", "event_type").groupBy("event_type").applyInArrow(grouped, "event_type string, n bigint, q90 double")
+    return tables.table(spark, sf, "events").select("value", "event_type").groupBy("event_type").applyInArrow(estimate, "event_type string, n bigint, q90 double, recent_q90 double")
 
 
 # -- text embedding surface
@@ -550,7 +597,7 @@ def _(spark, sf):
 
 @_add("text_truncate")
 def _(spark, sf):
-    return tables.table(spark, sf, "documents").select("doc_id", tx.truncate_bytes(F.col("text"), 4096).alias("text"))
+    return tables.table(spark, sf, "documents").select("doc_id", tx.pre_truncate(F.col("text"), 512).alias("text"))
 
 
 @_add("embed_hash")
@@ -558,9 +605,34 @@ def _(spark, sf):
     return embed.embed_hash(tables.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@_add("embed_models", "SELECT * FROM (VALUES ('jina','jina-clip-v2',1024),('jina','jina-embeddings-v2-base-en',768),('jina','jina-embeddings-v3',1024),('jina','jina-embeddings-v4',2048),('openai','text-embedding-3-large',3072),('openai','text-embedding-3-small',1536),('openai','text-embedding-ada-002',1536),('voyage','voyage-3-large',1024),('voyage','voyage-3.5',1024),('voyage','voyage-3.5-lite',1024),('voyage','voyage-code-3',1024),('voyage','voyage-large-2',1536)) t(provider, model, dims)")
+def _echo(url: str, headers: dict[str, str], body: bytes, timeout: int) -> tuple[int, str]:
+    """A provider that gives each text's length and the model's."""
+    asked = json.loads(body)
+    return 200, json.dumps({"data": [{"embedding": [len(t.encode()), len(asked["model"])]} for t in asked["input"]]})
+
+
+@_add("embed_remote", "SELECT doc_id, strlen(text)::DOUBLE AS first, 10.0::DOUBLE AS last, NULL::VARCHAR AS error FROM documents")
+def _(spark, sf):
+    settings = embed.Settings("voyage/voyage-3.5", api_key="k", timeout=5)
+    made = embed.embed_with(tables.table(spark, sf, "documents"), "doc_id", "text", lambda: embed.RemoteEncoder(settings, _echo), settings=(settings, "echo"), errors=True)
+    return made.select("doc_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("last"), "error")
+
+
+_KNOWN = [
+    *[("openai", n, d, 8192) for n, d in (("text-embedding-ada-002", 1536), ("text-embedding-3-small", 1536), ("text-embedding-3-large", 3072))],
+    *[("voyage", n, 1024, 32000) for n in ("voyage-3-large", "voyage-3.5", "voyage-3.5-lite", "voyage-code-3", "voyage-finance-2")],
+    ("voyage", "voyage-law-2", 1024, 16000),
+    ("voyage", "voyage-code-2", 1536, 16000),
+    ("jina", "jina-embeddings-v4", 2048, 32000),
+    *[("jina", n, 1024, 8192) for n in ("jina-clip-v2", "jina-embeddings-v3")],
+    *[("jina", n, 128, 8192) for n in ("jina-colbert-v2", "jina-colbert-v1-en")],
+    *[("jina", n, 768, 8192) for n in ("jina-clip-v1", *(f"jina-embeddings-v2-base-{x}" for x in ("es", "code", "de", "zh", "en")))],
+]
+
+
+@_add("embed_models", f"SELECT * FROM (VALUES {', '.join(map(str, _KNOWN))}) t(provider, model, dims, max_input)")
 def _(spark, sf):
-    return spark.createDataFrame([(m.provider, m.name, m.dims) for m in tx.MODELS.values()], "provider string, model string, dims int")
+    return spark.createDataFrame([(m.provider, m.name, m.dims, m.max_input) for m in tx.MODELS.values()], "provider string, model string, dims int, max_input int")
 
 
 @_add("embed_dispatch", "SELECT * FROM (VALUES ('openai:any','openai','any'),('voyage/voyage-3.5','voyage','voyage-3.5'),('jina:x','jina','x'),('my/local-model','local','my/local-model')) t(model_id, provider, model)")

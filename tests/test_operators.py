@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from colstrata.functions import text as tx
 from colstrata.functions.filters import Filter, all_of, is_degenerate, normalise, prune_values, to_column
-from colstrata.operators import embed, knn, postings, quantile, rows
-from colstrata.sources import tables
+from colstrata.operators import embed, knn, postings, quantile, rows, vector_index
+from colstrata.sources import check, tables
 
 
 def test_set_quantifiers_and_empty_sets(spark):
@@ -84,10 +84,62 @@ def test_blocks(spark, n):
     stats = rows.block_stats(t, "id", "v")
     assert stats.count() == -(-n // 1024)
     assert rows.early_reject(stats, 200, 300).first()[0] is True
-    assert rows.prune(t, stats, "id", "v", 5, 20).count() == t.where("v BETWEEN 5 AND 20").count()
+    assert rows.prune(t, "v", 5, 20).count() == t.where("v BETWEEN 5 AND 20").count()
     assert rows.cutoff(t, "id", -1).count() == n and rows.cutoff(t, "id", 0).count() == 0
 
 
+def test_footers(spark, tmp_path):
+    path = f"file://{tmp_path}/some table"
+    spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id").cast("double")).alias("v"), "id").repartition(3).write.parquet(path)
+    found = check.footers(spark, path, "v")
+    s = found.agg(F.sum("rows"), F.sum("nulls"), F.min("least"), F.max("most")).first()
+    assert tuple(s) == (1000, 100, 1.0, 999.0)
+    assert check.footer_reject(found, 2000, 3000).first()[0] is True and check.footer_reject(found, 5, 6).first()[0] is False
+    assert check.footer_estimate(found, 0, 5000).first()["rows"] == 1000
+
+
+def test_check_table(spark):
+    rows_ = [(0, [1, 2], [1.0, 2.0], 1.0), (1, [2, 1], [1.0], float("nan")), (1, [3, 3], [float("nan"), 1.0], None), (-5, [None], None, 1.0), (None, None, [], 1.0)]
+    df = spark.createDataFrame(rows_, "id bigint, s array<bigint>, v array<float>, x double")
+    got = {(r["block"], r["attr"], r["problem"]): r["n"] for r in check.check_table(df, "id", 10, {"v": 2}).collect()}
+    assert got == {(0, "s", "unsorted"): 2, (0, "v", "length"): 1, (0, "v", "not a number"): 1, (0, "x", "not a number"): 1, (0, "id", "repeated id"): 1, (-1, "id", "negative id"): 1, (-1, "s", "null element"): 1, (-1, "id", "null id"): 1, (-1, "v", "length"): 1}
+
+
+def test_postings_are_stored(spark, tmp_path):
+    t = spark.range(5000).select("id", (F.col("id") % 50).alias("v"))
+    path = f"file://{tmp_path}/index"
+    postings.write(postings.build(t, "id", "v"), path)
+    p = postings.read(spark, path)
+    hit = postings.rows(p, F.col("value") == 7)
+    assert "EqualTo(value,7)" in hit._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in hit.collect()} == set(range(7, 5000, 50))
+    counted = postings.count(p, F.col("value") < 2)
+    assert "rids" not in counted._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1] and counted.first()[0] == 200
+    assert postings.mismatches(p, t, "id", "v").count() == 0
+    spoilt = p.withColumn("rids", F.when(F.col("value") == 3, F.slice("rids", 2, 1000)).otherwise(F.col("rids")))
+    assert [tuple(r) for r in postings.mismatches(spoilt, t, "id", "v").collect()] == [(3, 3, 1)]
+    with pytest.raises(ValueError):
+        t.write.parquet(f"file://{tmp_path}/other")
+        postings.read(spark, f"file://{tmp_path}/other")
+    floats = spark.createDataFrame([(1, 1.0000001), (2, 1.0000002), (3, 2.0)], "id bigint, v double")
+    assert {tuple(r) for r in postings.merged_floats(postings.build(floats, "id", "v")).collect()} == {(1.0, 2), (2.0, 1)}
+
+
+def test_registry_is_stored(spark, tmp_path):
+    path = f"file://{tmp_path}/enabled"
+    r = postings.Registry(["a", "j['x']", "j['y']"])
+    assert r.save(spark, path) and not r.save(spark, path)
+    r.column_updated("none")
+    assert not r.save(spark, path)
+    r.column_updated("a")
+    assert r.save(spark, path)
+    again = postings.Registry.load(spark, path)
+    assert again.enabled == {"a": False, "j['x']": True, "j['y']": True} and again.path == path
+    spark.createDataFrame([(99, "a", True)], "version int, attr string, enabled boolean").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError):
+        postings.Registry.load(spark, path)
+
+
 def test_postings(spark):
     t = spark.createDataFrame([(0, 3, [1, 2]), (1, None, []), (2, 3, [2]), (1 << 21, 4, [7])], "id bigint, v int, s array<int>")
     p = postings.build(t, "id", "s")
@@ -103,6 +155,8 @@ def test_postings(spark):
     assert r.resolve("a['q']") == "a"
     r.column_updated("j['x']")
     assert r.resolve("j['y']") is None and r.resolve("a") == "a"
+    r.column_updated("a")
+    assert r.resolve("a") is None
 
 
 def test_knn_blocks_and_ties(spark):
@@ -130,6 +184,42 @@ def test_rabitq_recall(spark, sf):
     assert len(got & want) / len(want) > 0.9
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_stored_graphs(spark, tmp_path, metric):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0])], "vec_id bigint, embedding array<float>")
+    path = f"file://{tmp_path}/{metric}"
+    vector_index.write(df, path, metric, shard_rows=300)
+    asked = df.where("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    stored = df.where("vec_id < 900").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    for among in (None, df.where("vec_id % 2 = 0 AND vec_id < 900").select("vec_id"), df.where("vec_id < 20").select("vec_id")):
+        got = {(r["query_id"], r["vec_id"]) for r in vector_index.search(spark, path, asked, 15, ef=60, among=among, early=True, same_set=True, block_rows=30).collect()}
+        data = stored if among is None else stored.join(among.withColumnRenamed("vec_id", "id"), "id", "left_semi")
+        want = {(r["query_id"], r["vec_id"]) for r in knn.top_k(asked, data, 15, metric).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    ways = {r["way"]: r["d"] for r in vector_index.search(spark, path, asked, 5, ef=20).groupBy("way").agg(F.max("distances").alias("d")).collect()}
+    assert set(ways) == {"graph"} and 0 < ways["graph"] < 40 * 300
+    assert vector_index.search(spark, path, asked.limit(0), 5).count() == 0
+    vector_index.write(df.limit(0), path)
+    assert vector_index.search(spark, path, asked, 5).count() == 0
+
+
+def test_windowed_quantile_and_discovery():
+    rng = np.random.default_rng(0)
+    w = quantile.WindowedPSquare(0.5, 100)
+    assert w.value() == 0.0
+    for v in rng.normal(size=1000):
+        w.add(v)
+    for v in rng.normal(50, 1, size=150):
+        w.add(v)
+    assert 45 < w.value() < 55
+    d, rounds = quantile.Discovery(100), 0
+    while not d.done(max(0, 60 - rounds), 60):
+        rounds += 1
+    assert d.patience == 9 and rounds < 60 and quantile.Discovery(5000).patience == 6
+
+
 def test_check_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, []), (4, None), (5, [float("nan"), 1.0])], "id int, v array<float>")
     assert {r[0]: r[1] for r in knn.check_vectors(df, "id", "v", 2).collect()} == {2: "length", 3: "empty", 4: "null", 5: "not finite"}
@@ -166,15 +256,76 @@ def test_dispatch():
     assert tx.dispatch("bert") == ("local", "bert")
     with pytest.raises(ValueError):
         tx.dispatch("voyage/none")
+    with pytest.raises(ValueError):
+        tx.dispatch("voyage/voyage-large-2")
+    assert tx.dispatch("voyage/voyage-code-2") == ("voyage", "voyage-code-2")
+    assert tx.limits("voyage/voyage-law-2") == (1024, 16_000) and tx.limits("jina:new") == (None, 8192) and tx.limits("bert") == (None, None)
     assert tx.valid_key("k") and not tx.valid_key(" k") and not tx.valid_key("")
 
 
 def test_embed(spark):
-    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, t string")
-    got = {r[0]: np.array(r[1]) for r in embed.embed_hash(df, "id", "t").collect()}
-    assert abs(np.linalg.norm(got[1]) - 1) < 1e-5 and not got[2].any() and not got[3].any()
-    other = embed.embed_with(df, "id", "t", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    df = spark.createDataFrame([(1, "a b a"), (1, "c"), (2, ""), (3, None)], "id int, t string")
+    got = [(r[0], np.array(r[1])) for r in embed.embed_hash(df, "id", "t").collect()]
+    assert sorted(i for i, _ in got) == [1, 1, 2, 3]
+    assert sum(abs(np.linalg.norm(v) - 1) < 1e-5 for _, v in got) == 2 and sum(not v.any() for _, v in got) == 2
+    assert {round(float(np.abs(v).max()), 4) for i, v in got if i == 1} == {0.8944, 1.0}
+    other = embed.embed_with(df.where("t IS NULL OR t <> 'c'"), "id", "t", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), max_tokens=1)
     assert {r[0]: r[1] for r in other.collect()} == {1: [5.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    long = spark.createDataFrame([(1, "x" * 100)], "id int, t string")
+    assert embed.embed_with(long, "id", "t", lambda: lambda texts: np.array([[len(t)] for t in texts]), max_tokens=4).first()[1] == [32.0]
+
+
+def test_embed_errors_go_with_their_rows(spark):
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "fine") for i in range(6)], "id int, t string")
+
+    def load():
+        def encode(texts):
+            if "bad" in texts:
+                raise embed.EmbedError("http_error", 500)
+            return np.ones((len(texts), 2))
+
+        return encode
+
+    got = {r["id"]: r["error"] for r in embed.embed_with(df, "id", "t", load, batch=1, errors=True).collect()}
+    assert got == {i: "EmbedError: http_error (500)" if i == 3 else None for i in range(6)}
+    with pytest.raises(Exception, match="http_error"):
+        embed.embed_with(df, "id", "t", load, batch=1).collect()
+
+
+def test_remote_encoder():
+    asked = []
+
+    def told(status, text):
+        def transport(url, headers, body, timeout):
+            asked.append((url, headers["Authorization"], body, timeout))
+            return status, text
+
+        return embed.RemoteEncoder(embed.Settings("openai/text-embedding-3-small", api_key="key", timeout=3), transport)
+
+    ok = told(200, '{"data": [{"embedding": [1, 2]}, {"embedding": [3, 4]}]}')
+    assert ok(["a", "b"]).tolist() == [[1, 2], [3, 4]] and ok.dims == 2 and ok.max_input == 8192
+    assert asked[0] == ("https://api.openai.com/v1/embeddings", "Bearer key", b'{"input": ["a", "b"], "model": "text-embedding-3-small"}', 3)
+    code = lambda c: '{"error": {"code": "%s"}}' % c
+    for status, text, kind, kept in (
+        (401, "", "invalid_key", 401), (400, code("invalid_api_key"), "invalid_key", 400), (404, "x", "unsupported_model", 404), (400, code("model_not_found"), "unsupported_model", 400),
+        (429, "", "request_failed", None), (400, code("insufficient_quota"), "request_failed", None), (500, code("other"), "http_error", 500), (200, "no", "http_error", 200), (200, '{"data": []}', "http_error", 200),
+    ):
+        with pytest.raises(embed.EmbedError) as e:
+            told(status, text)(["a"])
+        assert (e.value.kind, e.value.status) == (kind, kept)
+    for model, key, kind in (("voyage/voyage-large-2", "k", "unsupported_model"), ("bert", "k", "unsupported_model"), ("jina/jina-clip-v2", " k", "invalid_key")):
+        with pytest.raises(embed.EmbedError) as e:
+            embed.RemoteEncoder(embed.Settings(model, api_key=key))
+        assert e.value.kind == kind
+    made = []
+    one = embed.cached(("x", 1), lambda: made.append(1) or len)
+    assert embed.cached(("x", 1), lambda: made.append(1) or len) is one and made == [1]
+
+
+def test_pooling():
+    t = np.arange(12, dtype=float).reshape(1, 3, 4)
+    assert embed.pooled(t, np.array([[1, 1, 0]])).tolist() == [[2, 3, 4, 5]]
+    assert embed.pooled(t, np.array([[1, 1, 0]]), "cls").tolist() == [[0, 1, 2, 3]]
 
 
 def test_stream(spark, tmp_path):
