@@ -1,164 +1,241 @@
-"""Language-model scores from a weighted backoff automaton over UTF-8 bytes.
-
-Training counts the byte n-grams of all documents (`order` of them, with markers
-before and after each text), takes continuation counts for the lower orders, and
-smooths by interpolated Kneser-Ney, all of it relational. The model is a table of
-n-grams with log-probability and a table of contexts with log-backoff.
-
-Scoring turns these into an automaton: a state for each context, an arc for each
-n-gram, and a failure arc to the context without its first byte, whose weight is
-the backoff. Texts are read left to right once, thousands of them in step, each
-carrying its state and its sum. A model beyond `most_rows` isn't broadcast: the
-documents' n-grams are then joined to the tables, with the same result.
+"""Language-model scores from a weighted backoff automaton over the tokens of a public vocabulary.
+
+The model is an n-gram model of all documents with hierarchical Dirichlet
+smoothing: p(w | h) = (c(h w) + s p(w | h')) / (c(h) + s), where h' is h without its
+first token, s a strength for each order, and below the unigrams all tokens are
+alike. Its counts are additive, so they are gathered by shards of the n-grams'
+hashes, evenly whatever the text; what is gathered grows with the corpus.
+
+Texts are encoded once, in blocks of some megabytes, and written as ids. Each block
+sends each shard its own n-grams with their counts, and gets back how often the
+corpus has them; so no task and not the driver holds the model, and a block gets the
+part of it that its texts can reach. That part becomes the block's automaton: a
+state for each context, an arc for each n-gram, and a failure arc to the context
+without its first token, whose weight is log(s / (c(h) + s)). The texts of a block
+are read left to right once, thousands of them in step, each carrying its state and
+its sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textkernel as tk
+from . import vocab
+from .jaccard import _binary, _bytes_of, _grouped
 from .staging import stage
 
-#: Bytes that UTF-8 never has: before a text, and after it.
-BEGIN, END = 0xFF, 0xFE
-_UNIFORM = float(np.log(1 / 257))
-_SLICE = 8 << 20
+#: Symbols are token ids plus 1. One stands before a text, and one after it.
+BEGIN, END = 0xFFFF, 0xFFFE
 _LANE = 1024
+SCORED, COUNTED = 1, 2
+BLOCK_SCHEMA = "block bigint, role int, n_symbols bigint, docs binary, unnamed binary, sizes binary, symbols binary"
+SCORE_SCHEMA = "doc_id bigint, n_symbols bigint, log_prob double, perplexity double"
 
 
-def _marked(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(docs: DataFrame, role: int, folder: str, vocabulary: str, block_bytes: int) -> DataFrame:
+    """One row for each block of documents: their ids, numbers of tokens (-1 for a null text) and symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            buf, offsets = tk.flat(batch.column(1))
+            none = np.asarray(batch.column(1).is_null())
+            unnamed = np.asarray(batch.column(0).is_null())
+            ids = batch.column(0).fill_null(0).to_numpy()
+            for a, b in tk.slices(offsets, block_bytes):
+                got, ends = vocab.encode_bpe(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], folder, vocabulary)
+                sizes = np.where(none[a:b], -1, np.diff(ends)).astype(np.int32)
+                one = lambda x: _binary(x, np.array([0, x.nbytes]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(role << 60) + (part << 32) + at]), pa.array([role], pa.int32()), pa.array([int((sizes[sizes >= 0] + 1).sum())])]
+                    + [one(ids[a:b].astype(np.int64)), one(unnamed[a:b].astype(np.uint8)), one(sizes), one((got + 1).astype(np.uint16))],
+                    names=["block", "role", "n_symbols", "docs", "unnamed", "sizes", "symbols"],
+                )
+                at += 1
+
+    return docs.mapInArrow(lambda batches: tk.released(run(batches)), BLOCK_SCHEMA)
+
+
+def marked(symbols: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts with order - 1 markers before and one after each, and their offsets."""
-    n = len(offsets) - 1
-    out = np.full(len(buf) + n * order, BEGIN, np.uint8)
-    ends = offsets + np.arange(n + 1) * order
-    out[np.arange(len(buf)) + np.repeat(np.arange(n) * order + order - 1, np.diff(offsets))] = buf
+    ends = np.concatenate([[0], np.cumsum(sizes + order)])
+    out = np.full(int(ends[-1]), BEGIN, np.uint64)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)) * order + order - 1, sizes)] = symbols
     out[ends[1:] - 1] = END
     return out, ends
 
 
-def _packed(symbols: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each predicted symbol, in the bytes of a 64-bit number."""
-    x = symbols.astype(np.uint64)
-    g = np.zeros(max(0, len(x) - order + 1), np.uint64)
-    for k in range(order):
-        g = (g << np.uint64(8)) | x[k : len(x) - order + 1 + k]
-    return g[symbols[order - 1 :] != BEGIN]
+def _grams(text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams that end at predicted symbols, by n from 1, with their counts.
 
+    An n-gram is a number with 16 bits for each symbol, so shorter ones are less.
+    The contexts before a text, of markers alone, count once for each text.
+    """
+    place = np.flatnonzero(text != BEGIN)
+    texts = int((text == END).sum())
+    out, key = [], np.zeros(len(place), np.uint64)
+    for n in range(1, order + 1):
+        key = key | text[place - (n - 1)] << np.uint64(16 * (n - 1))
+        keys, counts = np.unique(key, return_counts=True)
+        if n < order and texts:
+            start = np.uint64((1 << 16 * n) - 1)
+            where = int(np.searchsorted(keys, start))
+            keys, counts = np.insert(keys, where, start), np.insert(counts, where, texts)
+        out.append((keys, counts))
+    return out
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    g, n = (np.concatenate(x) for x in zip(*parts))
-    by = np.argsort(g, kind="stable")
-    g, n = g[by], n[by]
-    head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    return g[head], np.add.reduceat(n, head) if len(g) else n
 
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The numbers' low bytes, all first ones before all second ones, which packs well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
 
-def count_grams(docs: DataFrame, order: int, text: str = "text", most: int = 3_000_000) -> DataFrame:
-    """g, n: the n-grams of all texts with their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts):
-            g, n = _merge(parts)
-            for a in range(0, len(g), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 500_000].view(np.int64)), pa.array(n[a : a + 500_000])], names=["g", "n"])
+def _from_planes(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _width(most: int) -> int:
+    return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+
+
+def _sharded(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by shard, and shards + 1 offsets."""
+    shard = (tk.mix(keys) % np.uint64(shards)).astype(np.uint16 if shards < 65_536 else np.int64)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
-        parts, size = [], 0
+
+def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    """shard, block, role, keys and counts: a block's n-grams for each shard."""
+    schema = "shard int, block bigint, role int, keys binary, counts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = tk.flat(batch.column(0))
-            for a, b in tk.slices(offsets, _SLICE):
-                marked, _ = _marked(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
-                g, n = np.unique(_packed(marked, order), return_counts=True)
-                parts.append((g, n))
-                size += len(g)
-                if size > most:
-                    parts = [_merge(parts)]
-                    size = len(parts[0][0])
-                    if size > most // 2:
-                        yield from out(parts)
-                        parts, size = [], 0
-        if parts:
-            yield from out(parts)
-
-    picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
-    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Backoff:
-    """grams[k]: g, logp of the k-grams; states[k]: ctx, backoff of the contexts of k bytes; root: backoff of none."""
-
-    order: int
-    grams: dict[int, DataFrame]
-    states: dict[int, DataFrame]
-    rows: int
-
-
-def train(docs: DataFrame, order: int = 5, text: str = "text") -> Backoff:
-    """Interpolated Kneser-Ney over the byte n-grams of all documents."""
-    if not 2 <= order <= 7:
-        raise ValueError("order must be from 2 to 7")
-    counts = {order: stage(count_grams(docs, order, text), "grams")}
-    for k in range(order - 1, 0, -1):
-        counts[k] = stage(counts[k + 1].groupBy((F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("g")).agg(F.count("*").alias("n")), "grams")
-    grams: dict[int, DataFrame] = {}
-    states: dict[int, DataFrame] = {}
-    rows = 0
-    for k in range(1, order + 1):
-        s = counts[k].agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-        rows += s["all"]
-        cut = min(0.95, max(0.05, s["one"] / (s["one"] + 2 * s["two"]))) if s["one"] else 0.5
-        here = Window.partitionBy("ctx")
-        c = counts[k].withColumn("ctx", F.shiftright("g", 8)).withColumn("all", F.sum("n").over(here)).withColumn("kinds", F.count("*").over(here))
-        c = c.withColumn("left", F.lit(cut) * F.col("kinds") / F.col("all"))
-        if k == 1:
-            low = c.withColumn("low", F.lit(_UNIFORM))
-        else:
-            lower = grams[k - 1].select(F.col("g").alias("tail"), F.col("logp").alias("low"))
-            low = c.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower, "tail")
-        made = stage(low.select("g", "ctx", F.log((F.col("n") - cut) / F.col("all") + F.col("left") * F.exp("low")).alias("logp"), F.log("left").alias("left")), "model")
-        grams[k] = made.select("g", "logp")
-        states[k - 1] = made.groupBy("ctx").agg(F.min("left").alias("backoff"))
-    return Backoff(order, grams, states, rows)
+            for i in range(batch.num_rows):
+                sizes, symbols = _of(batch, "sizes", i, np.int32), _of(batch, "symbols", i, np.uint16)
+                grams = _grams(marked(symbols, sizes[sizes >= 0], order)[0], order)
+                keys, counts = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
+                by, ends = _sharded(keys, shards)
+                keys, counts = keys[by], counts[by]
+                some = np.flatnonzero(np.diff(ends))
+                packed, packed_n = [], []
+                for k in some.tolist():
+                    x, n = keys[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+                    packed.append(_planes(np.diff(x, prepend=np.uint64(0)), 2 * order))
+                    packed_n.append(_planes(n, _width(int(n.max()))))
+                if len(some):
+                    first = [pa.array(some.astype(np.int32)), *(pa.array([batch.column(batch.schema.get_field_index(c))[i].as_py()] * len(some), kind) for c, kind in (("block", pa.int64()), ("role", pa.int32())))]
+                    both = [_binary(np.concatenate(x), np.concatenate([[0], np.cumsum([len(y) for y in x])])) for x in (packed, packed_n)]
+                    yield pa.RecordBatch.from_arrays([*first, *both], names=["shard", "block", "role", "keys", "counts"])
+
+    return blocks.mapInArrow(lambda batches: tk.released(run(batches)), schema)
+
+
+def _of(batch: pa.RecordBatch | pa.Table, name: str, row: int, kind: type) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[row].as_py(), kind)
+
+
+def _told(asked: DataFrame, order: int) -> DataFrame:
+    """block, shard and told: how often the corpus has each n-gram that a block asked of a shard for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches, 0):
+            shard = batch.column(0).to_numpy()
+            edges = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+            for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                one = batch.slice(p, q - p)
+                role = one.column(2).to_numpy()
+                raw, at = _bytes_of(one.column(3))
+                raw_n, at_n = _bytes_of(one.column(4))
+                keys, counts = [], []
+                for i in range(q - p):
+                    x = np.cumsum(_from_planes(raw[at[i] : at[i + 1]], 2 * order), dtype=np.uint64)
+                    keys.append(x)
+                    n = _from_planes(raw_n[at_n[i] : at_n[i + 1]], int(at_n[i + 1] - at_n[i]) // len(x))
+                    counts.append(n if role[i] & COUNTED else np.zeros_like(n))
+                size = np.array([len(x) for x in keys])
+                keys, counts = np.concatenate(keys), np.concatenate(counts)
+                by = np.argsort(keys, kind="stable")
+                head = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])
+                total = np.add.reduceat(counts[by], np.flatnonzero(head))
+                told = np.empty(len(keys), np.uint64)
+                told[by] = total[np.cumsum(head) - 1]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                some = np.flatnonzero(role & SCORED)
+                packed = [_planes(t := told[ends[i] : ends[i + 1]], _width(int(t.max()))) for i in some.tolist()]
+                if len(some):
+                    data = _binary(np.concatenate(packed), np.concatenate([[0], np.cumsum([len(x) for x in packed])]))
+                    picked = one.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([picked.column(1), picked.column(0), data], names=["block", "shard", "told"])
+
+    rows = asked.repartition("shard").sortWithinPartitions("shard", "block")
+    return rows.mapInArrow(lambda batches: tk.released(run(batches)), "block bigint, shard int, told binary")
 
 
 class Automaton:
-    """The states and arcs of a model in flat arrays, with an open-addressed table of arcs."""
-
-    def __init__(self, order: int, grams: dict[int, tuple[np.ndarray, np.ndarray]], states: dict[int, tuple[np.ndarray, np.ndarray]]):
-        levels, at = {}, 0
-        for k in range(order):
-            ctx, weight = states[k]
-            by = np.argsort(ctx)
-            levels[k] = (ctx[by], weight[by], at)
-            at += len(ctx)
+    """States and arcs in flat arrays, with an open-addressed table of arcs.
+
+    levels: for n from 1, the sorted n-grams and how often the corpus has them;
+    with every n-gram, all that end it and all that begin it must be there.
+    """
+
+    def __init__(self, levels: Sequence[tuple[np.ndarray, np.ndarray]], total: int, kinds: int, strength: Sequence[float]):
+        order = len(levels)
         self.order = order
-        self.backoff = np.concatenate([levels[k][1] for k in range(order)])
-        self.fail = np.zeros(at, np.int32)
-        for k in range(1, order):
-            ctx, _, a = levels[k]
-            self.fail[a : a + len(ctx)] = self._find(levels, k - 1, ctx & ((1 << 8 * (k - 1)) - 1))[0]
-        key, logp, nxt = [], [], []
-        for k in range(1, order + 1):
-            g, p = grams[k]
-            source, _ = self._find(levels, k - 1, g >> 8)
-            to = np.zeros(len(g), np.int64)
-            todo = np.arange(len(g))
-            for j in range(min(k, order - 1), -1, -1):
-                got, ok = self._find(levels, j, g[todo] & ((1 << 8 * j) - 1))
-                to[todo[ok]] = got[ok]
-                todo = todo[~ok]
-            key.append(source << 8 | (g & 255))
-            logp.append(p)
-            nxt.append(to)
-        key, logp, nxt = np.concatenate(key), np.concatenate(logp), np.concatenate(nxt)
-        bits = max(10, int(np.ceil(np.log2(max(1, len(key)) * 2))))
+        self.unknown = float(np.log(strength[0] / kinds / (total + strength[0])))
+        # states: the root, then the contexts that the corpus has
+        state, at, backoff, fail = [], 1, [np.array([np.log(strength[0] / (total + strength[0]))])], [np.zeros(1, np.int64)]
+        prob, source, symbol, logp, nxt = [], [], [], [], []
+        for n in range(1, order + 1):
+            keys, count = levels[n - 1]
+            count = count.astype(float)
+            tail = np.searchsorted(levels[n - 2][0], keys & np.uint64((1 << 16 * (n - 1)) - 1)) if n > 1 else None
+            if n == 1:
+                p = (count + strength[0] / kinds) / (total + strength[0])
+                of = np.zeros(len(keys), np.int64)
+            else:
+                head = np.searchsorted(levels[n - 2][0], keys >> np.uint64(16))
+                # markers are never predicted, so n-grams that end in one have no context
+                head = np.minimum(head, len(levels[n - 2][0]) - 1)
+                before = levels[n - 2][1][head].astype(float)
+                p = (count + strength[n - 1] * prob[-1][np.minimum(tail, len(prob[-1]) - 1)]) / (before + strength[n - 1])
+                of = state[-1][head]
+            prob.append(p)
+            last = keys & np.uint64(0xFFFF)
+            if n < order:
+                own = np.where((count > 0) & (last != END), np.cumsum((count > 0) & (last != END)) - 1 + at, 0)
+                there = np.flatnonzero(own)
+                at += len(there)
+                backoff.append(np.log(strength[n] / (count[there] + strength[n])))
+                fail.append(state[-1][tail[there]] if n > 1 else np.zeros(len(there), np.int64))
+                state.append(own)
+                to = own
+            else:
+                to = state[-1][tail] if n > 1 else np.zeros(len(keys), np.int64)
+            arcs = np.flatnonzero((count > 0) & (last != BEGIN))
+            source.append(of[arcs])
+            symbol.append(last[arcs].astype(np.int64))
+            logp.append(np.log(p[arcs]))
+            nxt.append(to[arcs])
+        self.backoff, self.fail = np.concatenate(backoff), np.concatenate(fail).astype(np.int32)
+        self.start = 0
+        for n in range(1, order):
+            keys = levels[n - 1][0]
+            i = int(np.searchsorted(keys, np.uint64((1 << 16 * n) - 1)))
+            if i < len(keys) and keys[i] == (1 << 16 * n) - 1 and state[n - 1][i]:
+                self.start = int(state[n - 1][i])
+        self._fill(np.concatenate(source) << 16 | np.concatenate(symbol), np.concatenate(logp), np.concatenate(nxt))
+
+    def _fill(self, key: np.ndarray, logp: np.ndarray, nxt: np.ndarray) -> None:
+        bits = max(10, int(np.ceil(np.log2(max(1, len(key)) * 1.7))))
         self.shift = np.uint64(64 - bits)
         self.mask = (1 << bits) - 1
         self.key = np.full(1 << bits, -1, np.int64)
@@ -166,35 +243,20 @@ class Automaton:
         self.next = np.zeros(1 << bits, np.int32)
         todo, slot = np.arange(len(key)), self._slot(key)
         while len(todo):
-            free = np.flatnonzero(self.key[slot] < 0)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.key[slot[put]] = key[todo[put]]
+            # of several for one free slot the last written stays, and the others go on
+            free = self.key[slot] < 0
+            self.key[slot[free]] = key[todo[free]]
+            put = self.key[slot] == key[todo]
             self.logp[slot[put]] = logp[todo[put]]
             self.next[slot[put]] = nxt[todo[put]]
-            rest = np.ones(len(todo), bool)
-            rest[put] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & self.mask
-        # markers are never predicted, so the state before a text is looked up
-        self.start = 0
-        for j in range(order):
-            at, ok = self._find(levels, j, np.array([sum(BEGIN << 8 * i for i in range(j))]))
-            self.start = int(at[0]) if ok[0] else self.start
-
-    @staticmethod
-    def _find(levels: dict, k: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, _, a = levels[k]
-        if not len(known):
-            return np.zeros(len(ctx), np.int64), np.zeros(len(ctx), bool)
-        i = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-        return i + a, known[i] == ctx
+            todo, slot = todo[~put], (slot[~put] + 1) & self.mask
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (tk.mix(key.astype(np.uint64)) >> self.shift).astype(np.int64)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and the log-probabilities of the symbols."""
-        key = state << 8 | symbol
+        key = state << 16 | symbol
         slot = self._slot(key)
         seen = self.key[slot]
         to, gain = self.next[slot].astype(np.int64), self.logp[slot]
@@ -210,27 +272,27 @@ class Automaton:
                 to[todo[hit]] = self.next[s[hit]]
                 gain[todo[hit]] += self.logp[s[hit]]
             if gone.any():
-                gain[todo[gone]] += self.backoff[at[gone]]
                 last = gone & (at == 0)
                 to[todo[last]] = 0
-                gain[todo[last]] += _UNIFORM
+                gain[todo[last]] += self.unknown
+                up = gone & ~last
+                gain[todo[up]] += self.backoff[at[up]]
                 hit |= last
                 at = np.where(gone, self.fail[at], at)
             s = np.where(gone, 0, (s + 1) & self.mask)
             keep = ~hit
             todo, at, c, s, gone = todo[keep], at[keep], c[keep], s[keep], gone[keep]
-            k = at << 8 | c
+            k = at << 16 | c
             s = np.where(gone, self._slot(k), s)
         return to, gain
 
-    def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The log-probability of each text with its end.
+    def score(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The log-probability of each marked text.
 
         Long texts are read by several lanes: a state depends on the last
         order - 1 symbols alone, which a lane reads first without counting them.
         """
-        n, lead = len(offsets) - 1, self.order - 1
-        symbols, ends = _marked(buf, offsets, self.order)
+        n, lead = len(ends) - 1, self.order - 1
         size = np.diff(ends) - lead
         lanes = -(-size // _LANE)
         doc = np.repeat(np.arange(n), lanes)
@@ -239,95 +301,85 @@ class Automaton:
         length = np.minimum(size[doc] - nth * _LANE, _LANE)
         by = np.argsort(-length, kind="stable")
         doc, begin, length, nth = doc[by], begin[by], length[by], nth[by]
+        symbols = text.astype(np.int64)
         state = np.full(len(doc), self.start, np.int64)
         mid = np.flatnonzero(nth > 0)
         state[mid] = 0
         for i in range(lead):
-            state[mid], _ = self.step(state[mid], symbols[begin[mid] - lead + i].astype(np.int64))
+            state[mid], _ = self.step(state[mid], symbols[begin[mid] - lead + i])
         total = np.zeros(len(doc))
         live = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1 if len(length) else 1), "right")
         for i, m in enumerate(live.tolist()):
-            state[:m], gain = self.step(state[:m], symbols[begin[:m] + i].astype(np.int64))
+            state[:m], gain = self.step(state[:m], symbols[begin[:m] + i])
             total[:m] += gain
         return np.bincount(doc, total, n)
 
 
-def _collected(model: Backoff) -> Automaton:
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow()
-        return t.column(0).to_numpy(), t.column(1).to_numpy()
-
-    return Automaton(model.order, {k: arrays(v) for k, v in model.grams.items()}, {k: arrays(v) for k, v in model.states.items()})
-
-
-def gram_logp(grams: DataFrame, model: Backoff, g: str = "g") -> DataFrame:
-    """The n-grams in column g with `logp`, by joins with the tables of the model."""
-    out, kept = grams, grams.columns
-    for k in range(model.order, 0, -1):
-        out = out.withColumn(f"_g{k}", F.col(g).bitwiseAND(F.lit((1 << 8 * k) - 1))).withColumn(f"_c{k}", F.shiftright(F.col(f"_g{k}"), 8))
-        out = out.join(model.grams[k].select(F.col("g").alias(f"_g{k}"), F.col("logp").alias(f"_p{k}")), f"_g{k}", "left")
-        out = out.join(model.states[k - 1].select(F.col("ctx").alias(f"_c{k}"), F.col("backoff").alias(f"_b{k}")), f"_c{k}", "left")
-    value: Column = F.lit(_UNIFORM)
-    for k in range(1, model.order + 1):
-        value = F.coalesce(F.col(f"_p{k}"), F.coalesce(F.col(f"_b{k}"), F.lit(0.0)) + value)
-    return out.select(*kept, value.alias("logp"))
-
-
-def _measures(total: Column, size: Column) -> list[Column]:
-    return [size.alias("n_symbols"), total.alias("log_prob"), F.exp(-total / size).alias("perplexity")]
-
-
-def lm_scores(docs: DataFrame, model: Backoff | None = None, order: int = 5, text: str = "text", doc_id: str = "doc_id", most_rows: int = 8_000_000) -> DataFrame:
-    """doc_id, n_symbols, log_prob and perplexity (per byte) of each document.
-
-    model: as from train(); without it, trained on these documents. n_symbols are
-    the text's bytes and its end.
-
-    Nulls: a null text has null scores; an empty one is scored for its end alone;
-    a null doc_id stays null. Very long texts are read whole. Repeated rows score
-    alike, each on its own (where the model is joined, as one row for each set of
-    equal rows times their number). An empty table gives no row. Other columns
-    are not read.
+def lm_scores(
+    docs: DataFrame,
+    corpus: DataFrame | None = None,
+    order: int = 3,
+    strength: Sequence[float] = (1000.0, 100.0, 20.0),
+    folder: str = vocab.TOKENIZERS,
+    vocabulary: str = "byte_bpe_50k.tiktoken",
+    block_bytes: int = 6 << 20,
+    shard_symbols: int = 2_000_000,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """doc_id, n_symbols, log_prob and perplexity (per symbol) of each document.
+
+    The model is that of `corpus` (with the same columns), or of these documents
+    themselves. n_symbols are the text's tokens and its end. strength: the weight of
+    the lower order against an order's own counts, by order from 1.
+
+    Nulls: a null text has null scores and counts for nothing; an empty one is
+    scored for its end alone; a null doc_id stays null. Very long texts are read
+    whole. Repeated rows score alike, each on its own, and each counts. Ties need no
+    rule. An empty table gives no row, and an empty corpus the same probability to
+    every token. Other columns are not read.
     """
+    if not 2 <= order <= 4 or len(strength) < order or min(strength) <= 0:
+        raise ValueError("order must be from 2 to 4, with a strength above 0 for each")
     spark = docs.sparkSession
-    picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    if model is None:
-        model = train(picked, order, "t")
-    if model.rows == 0:
-        return picked.select("doc_id", F.lit(None).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
-    order = model.order
-    size = F.octet_length("t").cast("bigint") + 1
-    if model.rows <= most_rows:
-        shared = spark.sparkContext.broadcast(_collected(model))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, offsets = tk.flat(batch.column(2))
-                parts = [shared.value.score(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tk.slices(offsets, _SLICE)]
-                total = pa.array(np.concatenate(parts) if parts else np.zeros(0), mask=np.asarray(batch.column(2).is_null()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), total], names=["doc_id", "n", "total"])
-
-        scored = picked.select("doc_id", size.alias("n"), "t").mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, n bigint, total double")
-        return scored.select("doc_id", *_measures(F.col("total"), F.col("n")))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = tk.flat(batch.column(3))
-            for a, b in tk.slices(offsets, _SLICE):
-                marked, ends = _marked(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
-                g = _packed(marked, order)
-                doc = np.repeat(np.arange(a, b), np.diff(ends) - order + 1)
-                by = np.lexsort((g, doc))
-                g, doc = g[by], doc[by]
-                head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]))
-                rows = batch.select(["doc_id", "h", "n"]).take(pa.array(doc[head]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(g[head].view(np.int64)), pa.array(np.diff(np.append(head, len(g))))], names=["doc_id", "h", "n", "g", "times"])
-
-    keyed = picked.where("t IS NOT NULL").select("doc_id", F.xxhash64("t").alias("h"), size.alias("n"), "t").groupBy("doc_id", "h", "n").agg(F.min("t").alias("t"), F.count("*").alias("rows"))
-    grams = keyed.select("doc_id", "h", "n", "t").mapInArrow(lambda batches: tk.released(explode(batches)), "doc_id bigint, h bigint, n bigint, g bigint, times bigint")
-    total = gram_logp(grams, model).groupBy("doc_id", "h", "n").agg(F.sum(F.col("times") * F.col("logp")).alias("total"))
-    again = keyed.select("doc_id", "h", "n", "rows")
-    same = (total["doc_id"].eqNullSafe(again["doc_id"])) & (total["h"] == again["h"]) & (total["n"] == again["n"])
-    scored = total.join(again, same).select(total["doc_id"], *_measures(F.col("total"), total["n"]), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_r")).drop("_r")
-    none = picked.where("t IS NULL").select("doc_id", F.lit(None).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("perplexity"))
-    return scored.unionByName(none)
+    kinds = vocab.byte_bpe(folder, vocabulary).n_vocab + 1
+    if kinds + 1 >= END:
+        raise ValueError("the vocabulary must have fewer than 65,533 tokens")
+
+    def picked(df: DataFrame) -> DataFrame:
+        return df.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
+
+    made = _blocks(picked(docs), SCORED if corpus is not None else SCORED | COUNTED, folder, vocabulary, block_bytes)
+    if corpus is not None:
+        made = made.unionByName(_blocks(picked(corpus), COUNTED, folder, vocabulary, block_bytes))
+    blocks = stage(made, "blocks")
+    every = blocks.agg(F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("role").bitwiseAND(COUNTED) > 0, F.col("n_symbols"))), F.lit(0)).alias("counted")).first()
+    total, shards = int(every["counted"]), max(1, -(-int(every["n"]) // shard_symbols))
+    told = _told(_asked(blocks, order, shards), order)
+    scored = blocks.where(F.col("role").bitwiseAND(SCORED) > 0)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
+        if not right.num_rows:
+            return out.empty_table()
+        sizes, ids, unnamed = _of(right, "sizes", 0, np.int32), _of(right, "docs", 0, np.int64), _of(right, "unnamed", 0, np.uint8) > 0
+        there = sizes >= 0
+        body, ends = marked(_of(right, "symbols", 0, np.uint16), sizes[there], order)
+        value = np.zeros(len(sizes))
+        if there.any():
+            grams = [k for k, _ in _grams(body, order)]
+            keys = np.concatenate(grams)
+            by, at = _sharded(keys, shards)
+            count = np.zeros(len(keys), np.uint64)
+            for shard, raw in zip(left.column("shard").to_pylist(), left.column("told")):
+                raw = np.frombuffer(raw.as_py(), np.uint8)
+                a, b = at[shard], at[shard + 1]
+                count[by[a:b]] = _from_planes(raw, len(raw) // int(b - a))
+            split = np.cumsum([len(g) for g in grams])[:-1]
+            value[there] = Automaton(list(zip(grams, np.split(count, split))), total, kinds, strength).score(body, ends)
+        size = np.where(there, sizes + 1, 1)
+        columns = [pa.array(ids, mask=unnamed), pa.array(size.astype(np.int64), mask=~there), pa.array(value, mask=~there), pa.array(np.exp(-value / size), mask=~there)]
+        tk._release()
+        return pa.table(columns, schema=out)
+
+    return told.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(score, SCORE_SCHEMA)
