@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from . import vocab
+from .staging import rows_of, stage
 
 FIGURES = ("chars_per_token", "fallback_share", "token_evenness")
+_COLUMNS = (*FIGURES, "n_tokens", "words", "script")
 _BATCH = 2 << 20
 
 
@@ -87,9 +89,8 @@ def figures(text: pa.Array, folder: str) -> dict[str, np.ndarray]:
                 "script": _script(part, off),
             }
         )
-    names = (*FIGURES, "n_tokens", "words", "script")
     empty = dict.fromkeys(FIGURES, np.zeros(0)) | {"n_tokens": np.zeros(0, np.int64), "words": np.zeros(0, np.int64), "script": np.zeros(0, "U1")}
-    return {k: np.concatenate([f[k] for f in found]) if found else empty[k] for k in names}
+    return {k: np.concatenate([f[k] for f in found]) if found else empty[k] for k in _COLUMNS}
 
 
 def _prefixed(df: DataFrame, names: tuple[str, ...]) -> str:
@@ -103,9 +104,9 @@ def _prefixed(df: DataFrame, names: tuple[str, ...]) -> str:
 
 def measure(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text") -> tuple[DataFrame, str]:
     """The documents with their figures in columns `<prefix>_<figure>`, and the prefix."""
-    names = (*FIGURES, "n_tokens", "script")
-    prefix = _prefixed(docs, names)
-    kinds = {k: "double" for k in FIGURES} | {"n_tokens": "long", "script": "string"}
+    names = _COLUMNS
+    prefix = _prefixed(docs, (*names, *_LIMITS))
+    kinds = {k: "double" for k in FIGURES} | {"n_tokens": "long", "words": "long", "script": "string"}
     schema = docs.schema
     for k in names:
         schema = type(schema)(list(schema.fields)).add(f"{prefix}_{k}", kinds[k])
@@ -119,68 +120,60 @@ def measure(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text")
     return docs.mapInArrow(lambda batches: tk.released(run(batches)), schema), prefix
 
 
-Bands = dict[str, dict[int, list[tuple[float, float]]]]
 #: The length class that holds the documents of all lengths.
 _ANY = 0
+_LIMITS = ("cls", "longer", "lang", "of_script", *(f"{side}_{k}" for k in FIGURES for side in ("low", "high")))
 
 
-def _groups(lang: str | None, script: str) -> tuple[str, ...]:
-    return ((f"lang:{lang}",) if lang is not None else ()) + (f"script:{script}", "all")
+def _class(n_tokens: Column) -> Column:
+    """The power of two of a number of tokens, from 1 up."""
+    return F.length(F.bin(F.greatest(n_tokens, F.lit(1)))).cast("int")
 
 
-def _band(found: Bands, lang: str | None, script: str, cls: int) -> tuple[list[tuple[float, float]], int] | None:
-    """The band of the nearest length class that has one, by language before script before all; and by how many classes it is longer."""
-    own = [x for k in _groups(lang, script) if (x := found.get(k))]
-    for away in range(65):
-        for x in own:
-            for c in (cls - away, cls + away):
-                if c > _ANY and c in x:
-                    return x[c], max(0, c - cls)
-    return next(((x[_ANY], 0) for x in own if _ANY in x), None)
+def _groups(lang: Column, script: Column) -> list[Column]:
+    """A document's groups, the one to be judged by first."""
+    return [F.concat(F.lit("lang:"), lang), F.concat(F.lit("script:"), script), F.lit("all")]
 
 
-def bands(measured: DataFrame, prefix: str, lang: str = "lang", least: int = 50, most: int = 100_000) -> Bands:
-    """Quartiles of the figures by language, by script and of all, within each length class and whatever the length.
+def bands(measured: DataFrame, prefix: str, lang: str = "lang", least: int = 50) -> DataFrame:
+    """of, band_cls and the quartiles low_<figure> and high_<figure>: by language, by script and of all, within each length class and whatever the length.
 
     Documents with the same figures, as copies are, count once. Groups of fewer
-    than `least` get no band. Should a dirty language column give more than
-    `most` groups, those by script stand alone.
+    than `least` get no band.
     """
     fig = [F.col(f"{prefix}_{k}").alias(k) for k in FIGURES]
     n = F.col(f"{prefix}_n_tokens")
-    cls = F.length(F.bin(F.greatest(n, F.lit(1))))
-    names = [F.concat(F.lit("lang:"), F.col(f"`{lang}`")), F.concat(F.lit("script:"), F.col(f"{prefix}_script")), F.lit("all")]
-    keys = [F.struct(k.alias("of"), c.cast("int").alias("cls")) for k in names for c in (cls, F.lit(_ANY))]
+    names = _groups(F.col(f"`{lang}`").cast("string"), F.col(f"{prefix}_script"))
+    keys = [F.struct(k.alias("of"), c.alias("band_cls")) for k in names for c in (_class(n), F.lit(_ANY))]
     once = measured.where(n > 0).select(n.alias("n"), F.array(*keys).alias("bands"), *fig).distinct()
-    rows = (
-        once.select(F.explode("bands").alias("band"), *FIGURES)
-        .select("band.*", *FIGURES)
-        .where(F.col("of").isNotNull())
-        .groupBy("of", "cls")
-        .agg(F.count("*").alias("n"), *[F.percentile_approx(k, [0.25, 0.75], 1000).alias(k) for k in FIGURES])
-        .where(F.col("n") >= least)
-        .limit(most + 1)
-        .collect()
-    )
-    if len(rows) > most:
-        by_script = measured.withColumn(f"{prefix}_none", F.lit(None).cast("string"))
-        return bands(by_script, prefix, f"{prefix}_none", least, 1 << 30)
-    return _by_group(rows)
-
-
-def _by_group(rows: list) -> Bands:
-    found: Bands = {}
-    for r in rows:
-        found.setdefault(r["of"], {})[r["cls"]] = [tuple(r[k]) for k in FIGURES]
-    return found
-
-
-def fertility_rules(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text", lang: str = "lang", width: float = 3.0, least: int = 50, floors: tuple[float, float, float] = (0.04, 0.01, 0.015)) -> DataFrame:
+    found = once.select(F.explode("bands").alias("band"), *FIGURES).select("band.*", *FIGURES).where(F.col("of").isNotNull())
+    quartiles = [F.percentile_approx(k, [0.25, 0.75], 1000).alias(k) for k in FIGURES]
+    some = found.groupBy("of", "band_cls").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least)
+    return some.select("of", "band_cls", *[F.col(k)[i].alias(f"{side}_{k}") for k in FIGURES for i, side in enumerate(("low", "high"))])
+
+
+def _limits(measured: DataFrame, found: DataFrame, prefix: str, lang: str) -> DataFrame:
+    """For each language, script and length class the band of the nearest length class that has one, by language before script before all; and by how many classes that is longer."""
+    kinds = measured.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"{prefix}_script").alias("script"), _class(F.col(f"{prefix}_n_tokens")).alias("cls")).distinct()
+    each = kinds.select("*", F.posexplode(F.array(*_groups(F.col("lang"), F.col("script")))).alias("place", "of")).join(found, "of")
+    # of two lengths as near, the shorter; all lengths together come last
+    away = F.when(F.col("band_cls") == _ANY, F.lit(1 << 20)).otherwise(F.abs(F.col("band_cls") - F.col("cls")))
+    own = [f"{side}_{k}" for k in FIGURES for side in ("low", "high")]
+    best = F.min_by(F.struct("band_cls", *own), F.struct(away.alias("away"), "place", "band_cls"))
+    picked = each.groupBy("lang", "script", "cls").agg(best.alias("b"))
+    longer = F.when(F.col("b.band_cls") == _ANY, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("b.band_cls") - F.col("cls")))
+    return picked.select("lang", F.col("script").alias("of_script"), "cls", longer.alias("longer"), *[F.col(f"b.{x}").alias(x) for x in own])
+
+
+def fertility_rules(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str = "text", lang: str = "lang", width: float = 3.0, least: int = 50, floors: tuple[float, float, float] = (0.04, 0.01, 0.015), broadcast_rows: int = 50_000) -> DataFrame:
     """The documents whose figures lie within `width` interquartile ranges of their band's quartiles.
 
-    Two passes over the texts: quartiles over all documents, then the decision.
-    Only figures are shuffled, never texts. `floors` are the least ranges of the
-    three figures, against bands that some copied text has made too narrow.
+    The texts are measured once and written with their figures; quartiles come from
+    the figures, and the decision is a filter of what was written. `floors` are
+    the least ranges of the three figures, against bands that some copied text has
+    made too narrow. The limits are a table, one row for each language, script and
+    length class; up to broadcast_rows of them (200 bytes each) are broadcast, and
+    more, as of a dirty language column, are joined, with the same decisions.
 
     Nulls: a null or empty text, or one of white space alone, has no word to
     judge by and is rejected; a null language is judged by script; other nulls
@@ -189,24 +182,18 @@ def fertility_rules(docs: DataFrame, folder: str = vocab.TOKENIZERS, text: str =
     empty table. Other columns pass through, whatever their names.
     """
     measured, prefix = measure(docs, folder, text)
-    found = bands(measured, prefix, lang, least)
-    t, g = docs.columns.index(text), docs.columns.index(lang)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = figures(batch.column(t), folder)
-            keys = zip(batch.column(g).to_pylist(), f["script"].tolist(), (max(x, 1).bit_length() for x in f["n_tokens"].tolist()))
-            known: dict[tuple, tuple[list[tuple[float, float]], int] | None] = {}
-            own = [known[x] if x in known else known.setdefault(x, _band(found, *x)) for x in keys]
-            keep = (f["n_tokens"] > 0) & (f["words"] > 0)
-            longer = np.array([0 if b is None else b[1] for b in own])
-            for i, k in enumerate(FIGURES):
-                lo = np.array([-np.inf if b is None else b[0][i][0] for b in own])
-                hi = np.array([np.inf if b is None else b[0][i][1] for b in own])
-                judged = np.isfinite(lo)
-                half = np.where(judged, np.maximum(np.where(judged, hi, 0) - np.where(judged, lo, 0), floors[i]) * width * 2 ** (longer / 2), 0)
-                above = (longer > 0) if k == "token_evenness" else False
-                keep &= (f[k] >= lo - half) & ((f[k] <= hi + half) | above)
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(lambda batches: tk.released(run(batches)), docs.schema)
+    measured = stage(measured, "fertility")
+    limits = stage(_limits(measured, bands(measured, prefix, lang, least), prefix, lang), "limits")
+    names = {c: f"{prefix}_{c}" for c in limits.columns}
+    side = limits.select(*[F.col(c).alias(x) for c, x in names.items()])
+    at = {k: F.col(f"{prefix}_{k}") for k in (*_COLUMNS, *limits.columns)}
+    same = F.col(f"`{lang}`").cast("string").eqNullSafe(at["lang"]) & (at["script"] == at["of_script"]) & (_class(at["n_tokens"]) == at["cls"])
+    keep = (at["n_tokens"] > 0) & (at["words"] > 0)
+    for k, floor in zip(FIGURES, floors):
+        low, high = at[f"low_{k}"], at[f"high_{k}"]
+        half = F.greatest(high - low, F.lit(floor)) * width * F.pow(F.lit(2.0), at["longer"] / 2)
+        above = (at["longer"] > 0) if k == "token_evenness" else F.lit(False)
+        # without a band there is no limit
+        keep &= low.isNull() | ((at[k] >= low - half) & ((at[k] <= high + half) | above))
+    judged = measured.join(F.broadcast(side) if rows_of(limits, broadcast_rows) else side, same, "left").where(keep)
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
