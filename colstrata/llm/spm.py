@@ -160,9 +160,10 @@ def _spelled(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
 
 
 def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text") -> DataFrame:
-    """h, unit: the distinct units of all texts."""
+    """h, unit, n: the distinct units of all texts, and in how many tasks each was met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         p, seen = pieces(folder, name), np.zeros(0, np.uint64)
         for batch in batches:
             buf, offsets = tk.flat(batch.column(0))
@@ -179,7 +180,7 @@ def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text")
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_spelled(cps, s[first], e[first]))], names=["h", "unit"])
 
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
-    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "h bigint, unit string").groupBy("h").agg(F.min("unit").alias("unit"))
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "h bigint, unit string").groupBy("h").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
 
 
 def piece_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -216,15 +217,24 @@ def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
 
 
 def _merged(edges: Column, n: Column) -> Column:
-    """The edges of the path by best-scored merges."""
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - F.lit(1)
-    many = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-
-    def step(m: Column, _: Column) -> Column:
-        fits = F.filter(many, lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1))
-        return m - m.bitwiseAND(F.coalesce(F.get(fits, 0)["inner"], F.lit(0).cast("bigint")))
+    """The edges of the path by best-scored merges.
 
-    bounds = F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), full, step)
+    The fold carries the boundaries that are left and the edges that can still be
+    merged: those whose ends stand and that have a boundary inside.
+    """
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - F.lit(1)
+    many = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["ends"].alias("ends"), x["inner"].alias("inner")))
+    none = F.array().cast("array<struct<ends:bigint,inner:bigint>>")
+
+    def step(acc: Column, _: Column) -> Column:
+        m, rest = acc["m"], acc["rest"]
+        best = F.get(F.filter(rest, lambda x: F.bit_count(m.bitwiseAND(x["inner"])) == 1), 0)["inner"]
+        left = m - m.bitwiseAND(F.coalesce(best, F.lit(0).cast("bigint")))
+        open_ = F.filter(rest, lambda x: (left.bitwiseAND(x["ends"]) == x["ends"]) & (left.bitwiseAND(x["inner"]) != 0))
+        return F.struct(left.alias("m"), F.when(best.isNull(), none).otherwise(open_).alias("rest"))
+
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    bounds = F.aggregate(steps, F.struct(full.alias("m"), many.alias("rest")), step)["m"]
     return F.transform(F.array(bounds), lambda m: F.filter(edges, lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0)))[0]
 
 
@@ -268,100 +278,152 @@ def encode_units(units: DataFrame, folder: str, name: str) -> DataFrame:
     return folded.select("h", ids.alias("ids")).unionByName(long)
 
 
-def encode_pieces(docs: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "piece_bpe_32k.model", text: str = "text", doc_id: str = "doc_id", most_units: int = 6_000_000) -> DataFrame:
-    """doc_id and ids of each document, as the model itself encodes its text.
-
-    The ids of distinct units are broadcast, about 40 bytes each, up to
-    most_units of them; beyond, the documents' units are joined to them.
-
-    Nulls: a null text has null ids, an empty one none; a null doc_id stays null.
-    Very long texts are encoded whole. Repeated rows give a row each (where units
-    are joined, too). Of merges that tie in score, the leftmost goes first. An
-    empty table gives no row. Other columns are not read.
+def _frequent(units: DataFrame, most: int) -> DataFrame:
+    """All units if there are `most` or fewer, or else those met in as many tasks as it takes to have no more."""
+    by_n = {r["n"]: r["units"] for r in units.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("units")).collect()}
+    total, least = 0, 10_001
+    for n in sorted(by_n, reverse=True):
+        total += by_n[n]
+        if total > most:
+            break
+        least = n
+    return units.where(F.col("n") >= least)
+
+
+class _Known:
+    """The ids of units by hash, in flat arrays."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.sizes = keys[by], sizes[by].astype(np.int32)
+        self.begin = (np.cumsum(sizes) - sizes)[by]
+        self.codes = codes.astype(np.uint16) if not len(codes) or codes.max() < 65_536 else codes
+
+    def encode(self, cps: np.ndarray, s: np.ndarray, e: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units one after the other, and the number of each."""
+        h, first, which = np.unique(_hashed(cps, s, e), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        missing = self.keys[at] != h if len(self.keys) else np.ones(len(h), bool)
+        if not missing.any():
+            size = self.sizes[at][which].astype(np.int64)
+            return tk.gather(self.codes, self.begin[at][which], size).astype(np.int32), size
+        one = p.merge if p.merges else p.viterbi
+        made = [one(u) for u in _spelled(cps, s[first[missing]], e[first[missing]])]
+        begin, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        if len(self.keys):
+            begin[~missing], size[~missing] = self.begin[at[~missing]], self.sizes[at[~missing]]
+        known = tk.gather(self.codes, begin[~missing], size[~missing]).astype(np.int32)
+        fresh = np.fromiter(itertools.chain.from_iterable(made), np.int32)
+        size[missing] = np.fromiter(map(len, made), np.int64, len(made))
+        begin[~missing] = np.cumsum(size[~missing]) - size[~missing]
+        begin[missing] = len(known) + np.cumsum(size[missing]) - size[missing]
+        return tk.gather(np.concatenate([known, fresh]), begin[which], size[which]), size[which]
+
+
+def encode_pieces(docs: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "piece_bpe_32k.model", text: str = "text", doc_id: str = "doc_id", most_units: int = 4_000_000, round_trip: bool = False) -> DataFrame:
+    """doc_id and ids of each document, as the model itself encodes its text; with round_trip also `decodes`: whether the ids spell the text.
+
+    The ids of distinct units are broadcast, about 40 bytes each: all up to
+    most_units of them, and of more the ones met most often, which bounds what the
+    driver holds. A task that meets another unit encodes it by the same rule from
+    the piece table, with the same ids.
+
+    Nulls: a null text has null ids (and null `decodes`), an empty one none; a
+    null doc_id stays null. Very long texts are encoded whole. Repeated rows give a
+    row each. Of merges that tie in score, the leftmost goes first. An empty table
+    gives no row. Other columns are not read.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    units = stage(distinct_units(picked, folder, name, "t"), "units")
-    n_units = units.count()
-    parts = max(1, -(-n_units // 40_000))
-    coded = stage(encode_units(units.repartition(parts, "h"), folder, name), "unit-ids")
-
-    if n_units <= most_units:
-        t = coded.toArrow()
-        keys, ids = t.column("h").to_numpy(), t.column("ids").combine_chunks()
-        sizes = np.diff(ids.offsets.to_numpy()) if len(keys) else np.zeros(0, np.int64)
-        pool = ids.flatten().to_numpy() if len(keys) else np.zeros(0, np.int32)
-        by = np.argsort(keys.view(np.uint64)) if len(keys) else np.zeros(0, np.int64)
-        begin = (np.cumsum(sizes) - sizes)[by]
-        shared = spark.sparkContext.broadcast((keys.view(np.uint64)[by] if len(keys) else np.zeros(0, np.uint64), begin.astype(np.int32), sizes[by].astype(np.int32), pool.astype(np.uint16) if len(pool) and pool.max() < 65_536 else pool))
-        del t, ids
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = pieces(folder, name)
-            known, begins, lengths, codes = shared.value
-            for batch in batches:
-                buf, offsets = tk.flat(batch.column(1))
-                for a, b in tk.slices(offsets, _SLICE):
-                    cps, s, e, doc = _units(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p)
-                    h, which = np.unique(_hashed(cps, s, e), return_inverse=True)
-                    at = np.searchsorted(known, h)[which]
-                    size = lengths[at].astype(np.int64)
-                    flat = tk.gather(codes, begins[at].astype(np.int64), size)
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, size, b - a).astype(np.int64))])
-                    none = batch.column(1).slice(a, b - a).is_null()
-                    made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()) if flat.dtype == np.int32 else pa.array(flat.astype(np.int32)), mask=none if none.true_count else None)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made], names=["doc_id", "ids"])
-
-        return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, ids array<int>")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(folder, name)
+    units = _frequent(stage(distinct_units(picked, folder, name, "t"), "units"), most_units)
+    parts = max(1, -(-units.count() // 40_000))
+    coded = stage(encode_units(units.select("h", "unit").repartition(parts, "h"), folder, name), "unit-ids").toArrow()
+    ids = coded.column("ids").combine_chunks()
+    some = len(coded) > 0
+    shared = spark.sparkContext.broadcast(_Known(coded.column("h").to_numpy().view(np.uint64), np.diff(ids.offsets.to_numpy()) if some else np.zeros(0, np.int64), ids.flatten().to_numpy() if some else np.zeros(0, np.int32)))
+    del coded, ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, known = pieces(folder, name), shared.value
+        spelling = _Spelling(p) if round_trip else None
         for batch in batches:
-            buf, offsets = tk.flat(batch.column(2))
+            buf, offsets = tk.flat(batch.column(1))
             for a, b in tk.slices(offsets, _SLICE):
-                cps, s, e, doc = _units(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))])
-                made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_hashed(cps, s, e).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), made], names=["doc_id", "k", "hs"])
+                part, off = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                cps, s, e, doc = _units(part, off, p)
+                flat, size = known.encode(cps, s, e, p)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, size, b - a).astype(np.int64))])
+                none = batch.column(1).slice(a, b - a).is_null()
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()), mask=none if none.true_count else None)]
+                if spelling is not None:
+                    columns.append(pa.array(spelling.equal(flat, ends, part, off), mask=np.asarray(none)))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decodes"][: len(columns)])
+
+    return picked.mapInArrow(lambda batches: tk.released(run(batches)), "doc_id bigint, ids array<int>" + (", decodes boolean" if round_trip else ""))
+
 
-    keyed = picked.where("t IS NOT NULL AND t <> ''").groupBy("doc_id", F.xxhash64("t").alias("k")).agg(F.min("t").alias("t"), F.count("*").alias("rows"))
-    hs = keyed.select("doc_id", "k", "t").mapInArrow(lambda batches: tk.released(listed(batches)), "doc_id bigint, k bigint, hs array<bigint>")
-    placed = hs.select("doc_id", "k", F.posexplode("hs").alias("pos", "h")).join(coded, "h")
-    whole = placed.groupBy("doc_id", "k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    count = keyed.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "rows")
-    again = whole.join(count, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_r")).drop("_r")
-    rest = picked.where("t IS NULL OR t = ''").select("doc_id", F.when(F.col("t").isNotNull(), F.array().cast("array<int>")).alias("ids"))
-    return again.unionByName(rest)
+class _Spelling:
+    """The bytes that each id spells."""
+
+    def __init__(self, p: Pieces):
+        spell = [b"" if k == 3 else bytes([int(x[3:5], 16)]) if k == 6 else b" \xe2\x81\x87 " if k == 2 else x.replace(_SPACE, " ").encode() for x, k in zip(p.all, p.kinds)]
+        # one more for ids beyond the vocabulary, which spell nothing
+        self.size = np.array([*map(len, spell), 0])
+        self.begin = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(spell), np.uint8)
+        self.dummy_prefix = p.dummy_prefix
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of lists of ids, as bytes and offsets; a list's first space is the model's own."""
+        ids = ids.astype(np.int64)
+        ids = np.where((ids < 0) | (ids >= len(self.size) - 1), len(self.size) - 1, ids)
+        out = tk.gather(self.pool, self.begin[ids], self.size[ids])
+        offsets = np.concatenate([[0], np.cumsum(self.size[ids])])[ends]
+        if self.dummy_prefix and len(out):
+            some = np.flatnonzero(np.diff(offsets) > 0)
+            lead = np.zeros(len(offsets) - 1, np.int64)
+            lead[some] = out[offsets[some]] == 32
+            keep = np.ones(len(out), bool)
+            keep[offsets[:-1][lead > 0]] = False
+            out, offsets = out[keep], offsets - np.concatenate([[0], np.cumsum(lead)])
+        return out, offsets
+
+    def equal(self, ids: np.ndarray, ends: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each list of ids spells its text."""
+        out, at = self.decode(ids, ends)
+        same = np.diff(at) == np.diff(offsets)
+        if same.all():
+            wrong = np.flatnonzero(out != buf)
+            same[np.searchsorted(offsets, wrong, "right") - 1] = False
+            return same
+        for i in np.flatnonzero(same).tolist():
+            same[i] = np.array_equal(out[at[i] : at[i + 1]], buf[offsets[i] : offsets[i + 1]])
+        return same
 
 
 def decode_pieces(coded: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "piece_bpe_32k.model", ids: str = "ids", text: str = "text") -> DataFrame:
     """The rows with a column `text` of what their ids spell, in place of `ids`.
 
-    Control pieces spell nothing. Null ids give a null text, and ids beyond the
-    vocabulary nothing.
+    Nulls: null ids give a null text, and a null id within a list spells nothing,
+    nor do control pieces and ids beyond the vocabulary; an empty list gives an
+    empty text. Repeated rows are decoded each; very long lists whole. An empty
+    table gives an empty table. Other columns pass through; one of the name
+    `text` is an error.
     """
     names = [c for c in coded.columns if c != ids]
-    if text in names:
+    if text.lower() in {c.lower() for c in names}:
         raise ValueError(f"column {text} is there already")
     schema = coded.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(folder, name)
-        spell = [b"" if k == 3 else bytes([int(x[3:5], 16)]) if k == 6 else b" \xe2\x81\x87 " if k == 2 else x.replace(_SPACE, " ").encode() for x, k in zip(p.all, p.kinds)]
-        size = np.array([*map(len, spell), 0])
-        begin = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(spell), np.uint8)
+        spelling = _Spelling(pieces(folder, name))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             lists = column.fill_null([]) if column.null_count else column
-            flat = lists.flatten().fill_null(-1).to_numpy().astype(np.int64)
-            flat = np.where((flat < 0) | (flat >= len(spell)), len(spell), flat)
-            per = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])]
-            raw = tk.gather(pool, begin[flat], size[flat]).tobytes()
-            out = [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(per.tolist())]
-            if p.dummy_prefix:
-                out = [x.removeprefix(" ") for x in out]
-            made = pa.array(out, pa.string(), mask=np.asarray(column.is_null()))
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            out, at = spelling.decode(lists.flatten().fill_null(-1).to_numpy(), ends)
+            raw = out.tobytes()
+            made = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(at.tolist())], pa.string(), mask=np.asarray(column.is_null()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), made], names=[*names, text])
 
     return coded.mapInArrow(lambda batches: tk.released(run(batches)), schema)

@@ -106,6 +106,11 @@ def _memo(folder: str, name: str) -> PieceMemo:
     return PieceMemo()
 
 
+def forget() -> None:
+    """Give back what the memos of this worker hold, before work that has no use for them."""
+    _memo.cache_clear()
+
+
 def encode_bpe(buf: np.ndarray, offsets: np.ndarray, folder: str, name: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all documents, one after the other, and n + 1 offsets into them.
 
