@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         raise ValueError(f"column {copy} is there already")
     names = docs.columns
     n, r = "_copies", "_rate"
-    while {n, r} & {c.lower() for c in names}:
+    while {n, r, f"{r}_source"} & {c.lower() for c in names}:
         n, r = "_" + n, "_" + r
     rates = source_rates(docs, weights, temperature, epochs, text, source)
     rows = rates.select("source", "rate").limit(most_sources + 1).collect()

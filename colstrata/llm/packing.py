@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,15 @@ def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
 
 
-def _pack(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, missing: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _matrix(flat: np.ndarray, ends: np.ndarray, length: int, fill: int) -> pa.ListArray:
+    """Lists of `length` each: the values of each row, then the filler."""
+    rows, size = len(ends) - 1, np.diff(ends)
+    out = np.full(rows * length, fill, np.int32)
+    out[np.arange(len(flat)) + np.repeat(np.arange(rows) * length - ends[:-1], size)] = flat
+    return _list(out, np.arange(rows + 1) * length, pa.int32())
+
+
+def _pack(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, missing: np.ndarray, length: int, pad: int, name: str) -> Iterator[pa.RecordBatch]:
     """Rows from the ids of documents with at least one token."""
     size = np.diff(ends)
     pieces = -(-size // length)
@@ -109,12 +118,11 @@ def _pack(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, missing: np.ndarr
         c0 = p0 + a
         yield pa.RecordBatch.from_arrays(
             [
-                # a piece is in one row, so its first piece names the row
-                pa.array([f"{'null' if missing[d] else docs[d]}-{k}-{r}" for d, k, r in zip(doc[first[a:b]].tolist(), nth[first[a:b]].tolist(), range(a, b))]),
+                pa.array([f"{name}-{r}" for r in range(a, b)]),
                 pa.array(used[a:b].astype(np.int32)),
-                _list(flat[t0:t1], tok_ends, pa.int32()),
+                _matrix(flat[t0:t1], tok_ends, length, pad),
                 _list(cu[c0 : p1 + b], seg_ends + np.arange(b - a + 1), pa.int32()),
-                _list(position[t0:t1], tok_ends, pa.int32()),
+                _matrix(position[t0:t1], tok_ends, length, 0),
                 pa.ListArray.from_arrays(pa.array(seg_ends.astype(np.int32)), ids_of[int(p0) : int(p1)]),
                 _list((nth[p0:p1] * length).astype(np.int32), seg_ends, pa.int32()),
             ],
@@ -123,13 +131,16 @@ def _pack(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, missing: np.ndarr
 
 
 def pack_tokens(docs: DataFrame, length: int = 2048, folder: str = vocab.TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken", eot: int = 50256, text: str = "text", doc_id: str = "doc_id", group_bytes: int = 24 << 20) -> DataFrame:
-    """Rows of up to `length` ids: what each holds, where its segments end, and positions from 0 in each.
+    """Rows of `length` ids: what each holds, where its segments end, and positions from 0 in each.
 
     A document's ids are its text's with `eot` after them. One longer than a row
     is split each `length` ids; doc_offsets says where in the document a segment
     begins, so the segments give the document back. Rows are filled from one
     group of about group_bytes of text within a partition, so nothing is
-    shuffled and memory is bounded; rows are left unpadded.
+    shuffled and memory is bounded. input_ids and position_ids are matrices of
+    `length` columns: beyond the n_tokens of a row they hold eot and 0, and
+    cu_seqlens ends at n_tokens. A pack_id is the partition, the group in it and the
+    row in that, so no two rows share one.
 
     Nulls: a null or empty text is the one id eot; a null doc_id stays null, and
     its segments can't be told from others without id. Ties in length go by the
@@ -137,7 +148,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, folder: str = vocab.TOKENIZ
     Other columns are not read.
     """
 
-    def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(parts: list[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
         ids, size = [], []
         for p in parts:
             buf, offsets = tk.flat(p.column(1))
@@ -149,17 +160,39 @@ def pack_tokens(docs: DataFrame, length: int = 2048, folder: str = vocab.TOKENIZ
             column = pa.concat_arrays([p.column(0) for p in parts])
             missing = np.asarray(column.is_null())
             ends = np.concatenate([[0], np.cumsum(np.concatenate(size))])
-            yield from _pack(np.concatenate(ids), ends, np.asarray(column.fill_null(0)), missing, length)
+            yield from _pack(np.concatenate(ids), ends, np.asarray(column.fill_null(0)), missing, length, eot, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, done, part = [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             held.append(batch)
             n += batch.column(1).nbytes
             if n >= group_bytes:
-                yield from group(held)
-                held, n = [], 0
-        yield from group(held)
+                yield from group(held, f"{part}-{done}")
+                held, n, done = [], 0, done + 1
+        yield from group(held, f"{part}-{done}")
 
     picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     return picked.mapInArrow(lambda batches: tk.released(run(batches)), PACK_SCHEMA)
+
+
+BINARY_SCHEMA = "pack_id string, n_tokens int, ids binary, cu_seqlens binary, positions binary"
+
+
+def to_binary(packs: DataFrame) -> DataFrame:
+    """The rows of pack_tokens() as little-endian 32-bit numbers: ids and positions of the row's whole width, and the ends of segments.
+
+    Rows of one table have one width, so the ids of n rows, one after the other, are
+    an n x length matrix as they lie.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(0), batch.column(1)]
+            for c in batch.columns[2:]:
+                ends = np.concatenate([[0], np.cumsum(np.asarray(c.value_lengths()))]) * 4
+                data = c.flatten().to_numpy().astype("<i4").tobytes()
+                columns.append(pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)]))
+            yield pa.RecordBatch.from_arrays(columns, names=["pack_id", "n_tokens", "ids", "cu_seqlens", "positions"])
+
+    return packs.select("pack_id", "n_tokens", "input_ids", "cu_seqlens", "position_ids").mapInArrow(run, BINARY_SCHEMA)

@@ -32,15 +32,13 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     """Distinct buckets of each document, one after the other, and n + 1 offsets."""
     n = len(offsets) - 1
     mask = np.uint64((1 << bits) - 1)
-    if not len(buf):
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     low = tk.lower(buf)
     s, e, doc = tk.words(low, offsets, tk.SEPARATORS)
     word = tk.hash_spans(low, s, e, 1)
     # what stands between words, without white space
     other = _LETTERS | _SPACE_ONLY
     s2, e2, doc2 = tk.words(buf, offsets, other)
-    mark = tk.hash_spans(buf, s2, np.minimum(e2, s2 + 16), 2)
+    mark = tk.hash_spans(buf, s2, e2, 2)
     key = np.concatenate([doc.astype(np.uint64) << np.uint64(32) | word & mask, doc2.astype(np.uint64) << np.uint64(32) | mark & mask])
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
@@ -59,7 +57,7 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
         np.floor(10 * kinds / words) * 32 + np.floor(np.log2(words)),
         np.floor(np.diff(offsets) / words),
     ]
-    coarse = np.concatenate([np.arange(n, dtype=np.uint64) << np.uint64(32) | tk.mix(np.minimum(x, 1e6).astype(np.uint64) + np.uint64((k + 3) << 40)) & mask for k, x in enumerate(shape)])
+    coarse = np.concatenate([np.arange(n, dtype=np.uint64) << np.uint64(32) | tk.mix(x.astype(np.uint64) + np.uint64((k + 3) << 40)) & mask for k, x in enumerate(shape)])
     key = np.concatenate([key, coarse])
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -74,6 +72,8 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
     bits: int
+    #: the tail probability of the best grade that all but a stated share of held-out documents of it reach
+    cut: float = 0.5
 
     def score(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), self.weights[ids], len(ends) - 1)
@@ -83,6 +83,22 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def slopes(score: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the mean negative log-likelihood by each score and by each threshold."""
+    grades, n = len(cuts) + 1, len(score)
+    t = np.concatenate([[-np.inf], cuts, [np.inf]])
+    lo, hi = np.where(grade == 0, 0.0, _logistic(t[grade] - score)), np.where(grade == grades - 1, 1.0, _logistic(t[grade + 1] - score))
+    p = np.maximum(hi - lo, 1e-12)
+    by_cut = np.zeros(grades - 1)
+    np.add.at(by_cut, np.minimum(grade, grades - 2), np.where(grade < grades - 1, -hi * (1 - hi) / p, 0) / n)
+    np.add.at(by_cut, np.maximum(grade - 1, 0), np.where(grade > 0, lo * (1 - lo) / p, 0) / n)
+    return (1 - lo - hi) / n, by_cut
+
+
 def fit_ordinal(ids: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: int, bits: int, epochs: int = 25, batch: int = 256, rate: float = 0.3, decay: float = 1e-4, least_docs: int = 4) -> Ordinal:
     """Adaptive gradient descent on the cumulative-link likelihood; the order of rows is the order of steps.
 
@@ -103,27 +119,18 @@ def fit_ordinal(ids: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: in
     def cuts() -> np.ndarray:
         return np.concatenate([theta[:1], theta[:1] + np.cumsum(np.exp(np.clip(theta[1:], -20, 20)))])
 
-    def logistic(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
-
     for _ in range(epochs):
         for a in range(0, n, batch):
             b = min(n, a + batch)
             x = ids[ends[a] : ends[b]]
             row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
             s = np.bincount(row, weights[x], b - a)
-            t = np.concatenate([[-np.inf], cuts(), [np.inf]])
-            lo, hi = np.where(grade[a:b] == 0, 0.0, logistic(t[grade[a:b]] - s)), np.where(grade[a:b] == grades - 1, 1.0, logistic(t[grade[a:b] + 1] - s))
-            p = np.maximum(hi - lo, 1e-12)
-            slope = (1 - lo - hi) / (b - a)
+            slope, cut = slopes(s, cuts(), grade[a:b])
             at, which = np.unique(x, return_inverse=True)
             g = np.bincount(which, slope[row], len(at))
             g += decay * weights[at]
             power[at] += g * g
             weights[at] -= rate * g / np.sqrt(power[at])
-            cut = np.zeros(grades - 1)
-            np.add.at(cut, np.minimum(grade[a:b], grades - 2), np.where(grade[a:b] < grades - 1, -hi * (1 - hi) / p, 0) / (b - a))
-            np.add.at(cut, np.maximum(grade[a:b] - 1, 0), np.where(grade[a:b] > 0, lo * (1 - lo) / p, 0) / (b - a))
             tail = np.cumsum(cut[::-1])[::-1]
             step = np.concatenate([tail[:1], tail[1:] * np.exp(np.clip(theta[1:], -20, 20))])
             theta_power += step * step
@@ -136,7 +143,32 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, F.lit(0)).when(quality == 0, F.lit(1)).when(quality == 1, F.lit(2))
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int = 18, text: str = "text", doc_id: str = "doc_id", grade: str = "grade") -> Ordinal | None:
+def _rows(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.diff(ends)[which]
+    return tk.gather(ids, ends[:-1][which], size), np.concatenate([[0], np.cumsum(size)])
+
+
+def fit_and_cut(ids: np.ndarray, ends: np.ndarray, grade: np.ndarray, bits: int, loss: float, folds: int = 5) -> Ordinal:
+    """A model of all rows, with the cut that loses the share `loss` of the best grade, as measured on each fold by a model of the others.
+
+    With too few rows for that (fewer than two grades beside some fold, or no
+    held-out document of the best grade) the cut is 0.5.
+    """
+    grades = int(grade.max()) + 1
+    fold = np.arange(len(grade)) % folds
+    tails = []
+    for f in range(folds):
+        inside, held = np.flatnonzero(fold != f), np.flatnonzero((fold == f) & (grade == grades - 1))
+        if len(held) and len(np.unique(grade[inside])) > 1:
+            m = fit_ordinal(*_rows(ids, ends, inside), grade[inside], grades, bits)
+            tails.append(m.above(m.score(*_rows(ids, ends, held)))[:, -1])
+    model = fit_ordinal(ids, ends, grade, grades, bits)
+    if tails:
+        model.cut = float(np.quantile(np.concatenate(tails), loss, method="lower"))
+    return model
+
+
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int = 18, loss: float = 0.01, text: str = "text", doc_id: str = "doc_id", grade: str = "grade") -> Ordinal | None:
     """A model of up to `sample` rated documents, or None if they have fewer than two grades.
 
     ratings: doc_id and grade from 0 up. Rows with a null are left out; of
@@ -162,7 +194,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int =
     lists = found.column("ids").combine_chunks().take(pa.array(np.lexsort((grade_of, key))))
     sizes = np.asarray(lists.value_lengths())
     order = np.lexsort((grade_of, key))
-    return fit_ordinal(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), grade_of[order], int(grade_of.max()) + 1, bits)
+    return fit_and_cut(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), grade_of[order], bits, loss)
 
 
 def score_quality(docs: DataFrame, model: Ordinal | None, text: str = "text", doc_id: str = "doc_id", least: int | None = None) -> DataFrame:
@@ -187,14 +219,20 @@ def score_quality(docs: DataFrame, model: Ordinal | None, text: str = "text", do
     return picked.mapInArrow(lambda batches: tk.released(run(batches)), schema)
 
 
-def select_quality(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int = 18, least: int | None = None, probability: float = 0.3, text: str = "text", doc_id: str = "doc_id", grade: str = "grade") -> DataFrame:
+def select_quality(docs: DataFrame, ratings: DataFrame, sample: int = 20_000, bits: int = 18, least: int | None = None, probability: float | None = None, loss: float = 0.01, text: str = "text", doc_id: str = "doc_id", grade: str = "grade") -> DataFrame:
     """The documents whose tail probability is `probability` or more, with their scores.
 
+    By default the limit is the one that loses the share `loss` of held-out
+    documents of the best grade (in five folds of the sample), or 0.5 where
+    `least` is another grade.
+
     Nulls: a null text has no score and isn't selected; an empty one has the
     score of its shape; a null doc_id stays null. Very long texts are read whole.
     A tail probability equal to the limit is selected. Repeated rows are scored
     each. Without two grades to learn from, no document has a score and none is
     selected. An empty table gives no row. Other columns are not read.
     """
-    model = train(docs, ratings, sample, bits, text, doc_id, grade)
+    model = train(docs, ratings, sample, bits, loss, text, doc_id, grade)
+    if probability is None:
+        probability = model.cut if model is not None and least is None else 0.5
     return score_quality(docs, model, text, doc_id, least).where(F.col("tail_probability") >= probability)

@@ -44,7 +44,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.encode_pieces(_docs(spark, sf_dir))
+    return spm.encode_pieces(_docs(spark, sf_dir), round_trip=True)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

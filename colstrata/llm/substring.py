@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .jaccard import _binary, _bytes_of, _grouped
-from .staging import rows_of, stage
+from .jaccard import _binary, _bytes_of, _free, _grouped
+from .staging import stage
 
 _PLACE = np.uint64((1 << 24) - 1)
 _SLICE = 4 << 20
@@ -442,6 +442,11 @@ def repeated_passages(docs: DataFrame, length: int = 50, run_words: int = 6, sha
     return runs.select("doc_id", "later", F.explode("runs").alias("x")).select("doc_id", x["a"].alias("start_word"), x["b"].alias("end_word"), inside.alias("later_words"))
 
 
+def _replaced(column: pa.Array, new: list, where: np.ndarray) -> pa.Array:
+    """The column with some values from a list, which follow its own in numbering."""
+    return pa.concat_arrays([column, pa.array(new, column.type)]).take(pa.array(where))
+
+
 def cut_repeats(docs: DataFrame, length: int = 50, run_words: int = 6, shard_bytes: int = 16 << 20, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = "n_chars", broadcast_rows: int = 200_000) -> DataFrame:
     """The documents without the passages that stand earlier already.
 
@@ -450,15 +455,20 @@ def cut_repeats(docs: DataFrame, length: int = 50, run_words: int = 6, shard_byt
     goes, with its row. n_chars, if the documents have such a column, is set to
     the new length of a text that was cut.
 
-    The ranges are broadcast up to broadcast_rows documents and joined beyond.
-    Repeated rows of one id and text are one document and are cut alike. Cases
-    of nulls and others are those of repeated_passages(); such rows stay.
+    The ranges are broadcast up to broadcast_rows documents and ranges, and joined
+    beyond. Repeated rows of one id and text are one document and are cut alike.
+    Rows with a null or short text stay as they are; very long texts are read
+    whole. An empty table gives an empty table. Other columns pass through,
+    whatever their names.
     """
     names = docs.columns
-    ranges = stage(repeated_runs(docs, length, run_words, shard_bytes, text, doc_id).where(F.size("later") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("later").alias("_cut")), "cuts")
-    side = F.broadcast(ranges) if rows_of(ranges, broadcast_rows) else ranges
+    d, h, cut = _free(names, 3)
+    ranges = stage(repeated_runs(docs, length, run_words, shard_bytes, text, doc_id).where(F.size("later") > 0).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("later").alias(cut)), "cuts")
+    # 8 bytes a range and 40 a document
+    total = ranges.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(cut)), F.lit(0)).alias("ranges")).first()
+    side = F.broadcast(ranges) if max(total["rows"], total["ranges"]) <= broadcast_rows else ranges
     t = F.col(f"`{text}`").cast("string")
-    joined = docs.join(side, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_h")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("_cut"))
+    joined = docs.join(side, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col(d)) & (F.xxhash64(t) == F.col(h)), "left").select(*[F.col(f"`{c}`") for c in names], F.col(cut))
     at, cut_at = names.index(text), len(names)
     count_at = names.index(n_chars) if n_chars in names else None
 
@@ -485,15 +495,11 @@ def cut_repeats(docs: DataFrame, length: int = 50, run_words: int = 6, shard_byt
                     continue
                 left = buf[~drop]
                 texts[i], lengths[i] = left.tobytes().decode("utf-8", "replace"), int(((left & 0xC0) != 0x80).sum())
-            new = columns[at].to_pylist()
-            for i, x in texts.items():
-                new[i] = x
-            columns[at] = pa.array(new, columns[at].type)
+            where = np.arange(batch.num_rows)
+            where[list(texts)] = batch.num_rows + np.arange(len(texts))
+            columns[at] = _replaced(columns[at], list(texts.values()), where)
             if count_at is not None:
-                n = columns[count_at].to_pylist()
-                for i, x in lengths.items():
-                    n[i] = x
-                columns[count_at] = pa.array(n, columns[count_at].type)
+                columns[count_at] = _replaced(columns[count_at], list(lengths.values()), where)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(lambda batches: tk.released(run(batches)), docs.schema)

@@ -9,11 +9,14 @@ inside the frame.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +24,12 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 BUNDLE_SCHEMA = "bundle_id string, data binary, n_frames int, n_records int, raw_bytes bigint, index array<struct<record_id:bigint,frame:int,offset:bigint,length:bigint>>"
 
 
-def warc_record(record_id: int | None, url: str | None, body: str | None, date: str) -> bytes:
-    """One response record with its HTTP block; a null url or body is left empty and marked so."""
+def warc_record(record_id: int | None, url: str | None, body: str | None, date: str, place: str = "") -> bytes:
+    """One response record with its HTTP block; a null url or body is left empty and marked so. Its name is drawn from all of it and its place."""
     raw = (body or "").encode("utf-8", "surrogatepass")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(raw) + raw
     clean = "".join(c for c in url or "" if c not in "\r\n")
-    name = f"{'' if record_id is None else record_id}|{clean}"
+    name = f"{place}|{'' if record_id is None else record_id}|{clean}|{hashlib.sha256(raw).hexdigest()}"
     lines = [
         "WARC/1.1",
         "WARC-Type: response",
@@ -114,9 +117,9 @@ def write_bundles(pages: DataFrame, record_id: str = "page_id", url: str = "url"
     Nulls: a record without id is stored and indexed under null; a null url has
     no target line; a null body is stored empty and marked, and read back as
     null. A record longer than a frame has a frame of its own. Repeated rows are
-    stored each. An empty table gives no bundle. Other columns are not stored.
+    stored each, and no two records of a table share a WARC-Record-ID, as its
+    name holds the partition and the place in it. All have the one given date. An empty table gives no bundle. Other columns are not stored.
     """
-    import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -127,10 +130,11 @@ def write_bundles(pages: DataFrame, record_id: str = "page_id", url: str = "url"
             row = b.row("")
             return pa.RecordBatch.from_pylist([row | {"bundle_id": hashlib.sha256(row["data"]).hexdigest()[:24]}], schema)
 
-        b = _Bundle(level)
+        b, part, n = _Bundle(level), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, u, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                b.add(i, warc_record(i, u, h, date), frame_bytes)
+                b.add(i, warc_record(i, u, h, date, f"{part}/{n}"), frame_bytes)
+                n += 1
                 if b.raw + len(b.open) >= bundle_bytes:
                     yield out(b)
                     b = _Bundle(level)
@@ -171,3 +175,41 @@ def read_records(bundles: DataFrame, ids: DataFrame | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("body", pa.string())]))
 
     return bundles.select("data", "index", "wanted").mapInArrow(run, "record_id bigint, url string, body string")
+
+
+def write_files(bundles: DataFrame, folder: str) -> DataFrame:
+    """bundle_id, path and bytes: each bundle as a file of its own in a folder that all executors have mounted.
+
+    A file gets its name when it is whole, so a task that runs again leaves no
+    part of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = os.path.join(folder, f"{name}.warc.zst")
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, path)
+                rows.append({"bundle_id": name, "path": path, "bytes": len(data)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("bytes", pa.int64())]))
+
+    return bundles.select("bundle_id", "data").mapInArrow(run, "bundle_id string, path string, bytes bigint")
+
+
+def read_at(path: str, frame: int, offset: int, length: int) -> dict:
+    """One record of a bundle's file, by seeking: its table and one frame are read."""
+    import zstandard
+
+    with open(path, "rb") as f:
+        end = f.seek(0, os.SEEK_END)
+        f.seek(end - 9)
+        n = struct.unpack("<I", f.read(4))[0]
+        f.seek(end - 9 - 8 * n)
+        at, size, raw = read_seek_table(f.read(8 * n + 9))[frame]
+        f.seek(at)
+        data = zstandard.ZstdDecompressor().decompress(f.read(size), max_output_size=raw)
+    return parse_record(data[offset : offset + length])
