@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def _blocks(docs: DataFrame, role: int, folder: str, vocabulary: str, block_byte
                 one = lambda x: _binary(x, np.array([0, x.nbytes]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(role << 60) + (part << 32) + at]), pa.array([role], pa.int32()), pa.array([int((sizes[sizes >= 0] + 1).sum())])]
-                    + [one(ids[a:b].astype(np.int64)), one(unnamed[a:b].astype(np.uint8)), one(sizes), one((got + 1).astype(np.uint16))],
+                    + [one(ids[a:b].astype(np.int64)), one(unnamed[a:b].astype(np.uint8)), one(sizes), one(_squeezed(_planes(got + 1, 2)))],
                     names=["block", "role", "n_symbols", "docs", "unnamed", "sizes", "symbols"],
                 )
                 at += 1
@@ -103,6 +104,15 @@ def _from_planes(raw: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    """The bytes as a Zstandard frame."""
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes()), np.uint8)
+
+
+def _loosened(raw: bytes | memoryview) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+
 def _width(most: int) -> int:
     return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
 
@@ -120,7 +130,7 @@ def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, symbols = _of(batch, "sizes", i, np.int32), _of(batch, "symbols", i, np.uint16)
+                sizes, symbols = _of(batch, "sizes", i, np.int32), _symbols(batch, i)
                 grams = _grams(marked(symbols, sizes[sizes >= 0], order)[0], order)
                 keys, counts = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
                 by, ends = _sharded(keys, shards)
@@ -129,8 +139,8 @@ def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
                 packed, packed_n = [], []
                 for k in some.tolist():
                     x, n = keys[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
-                    packed.append(_planes(np.diff(x, prepend=np.uint64(0)), 2 * order))
-                    packed_n.append(_planes(n, _width(int(n.max()))))
+                    packed.append(_squeezed(_planes(np.diff(x, prepend=np.uint64(0)), 2 * order)))
+                    packed_n.append(_squeezed(_planes(n, _width(int(n.max())))))
                 if len(some):
                     first = [pa.array(some.astype(np.int32)), *(pa.array([batch.column(batch.schema.get_field_index(c))[i].as_py()] * len(some), kind) for c, kind in (("block", pa.int64()), ("role", pa.int32())))]
                     both = [_binary(np.concatenate(x), np.concatenate([[0], np.cumsum([len(y) for y in x])])) for x in (packed, packed_n)]
@@ -143,6 +153,10 @@ def _of(batch: pa.RecordBatch | pa.Table, name: str, row: int, kind: type) -> np
     return np.frombuffer(batch.column(name)[row].as_py(), kind)
 
 
+def _symbols(batch: pa.RecordBatch | pa.Table, row: int) -> np.ndarray:
+    return _from_planes(_loosened(batch.column("symbols")[row].as_py()), 2)
+
+
 def _told(asked: DataFrame, order: int) -> DataFrame:
     """block, shard and told: how often the corpus has each n-gram that a block asked of a shard for."""
 
@@ -157,9 +171,10 @@ def _told(asked: DataFrame, order: int) -> DataFrame:
                 raw_n, at_n = _bytes_of(one.column(4))
                 keys, counts = [], []
                 for i in range(q - p):
-                    x = np.cumsum(_from_planes(raw[at[i] : at[i + 1]], 2 * order), dtype=np.uint64)
+                    x = np.cumsum(_from_planes(_loosened(raw[at[i] : at[i + 1]].data), 2 * order), dtype=np.uint64)
                     keys.append(x)
-                    n = _from_planes(raw_n[at_n[i] : at_n[i + 1]], int(at_n[i + 1] - at_n[i]) // len(x))
+                    n = _loosened(raw_n[at_n[i] : at_n[i + 1]].data)
+                    n = _from_planes(n, len(n) // len(x))
                     counts.append(n if role[i] & COUNTED else np.zeros_like(n))
                 size = np.array([len(x) for x in keys])
                 keys, counts = np.concatenate(keys), np.concatenate(counts)
@@ -170,7 +185,7 @@ def _told(asked: DataFrame, order: int) -> DataFrame:
                 told[by] = total[np.cumsum(head) - 1]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 some = np.flatnonzero(role & SCORED)
-                packed = [_planes(t := told[ends[i] : ends[i + 1]], _width(int(t.max()))) for i in some.tolist()]
+                packed = [_squeezed(_planes(t := told[ends[i] : ends[i + 1]], _width(int(t.max())))) for i in some.tolist()]
                 if len(some):
                     data = _binary(np.concatenate(packed), np.concatenate([[0], np.cumsum([len(x) for x in packed])]))
                     picked = one.take(pa.array(some))
@@ -364,7 +379,7 @@ def lm_scores(
             return out.empty_table()
         sizes, ids, unnamed = _of(right, "sizes", 0, np.int32), _of(right, "docs", 0, np.int64), _of(right, "unnamed", 0, np.uint8) > 0
         there = sizes >= 0
-        body, ends = marked(_of(right, "symbols", 0, np.uint16), sizes[there], order)
+        body, ends = marked(_symbols(right, 0), sizes[there], order)
         value = np.zeros(len(sizes))
         if there.any():
             grams = [k for k, _ in _grams(body, order)]
@@ -372,7 +387,7 @@ def lm_scores(
             by, at = _sharded(keys, shards)
             count = np.zeros(len(keys), np.uint64)
             for shard, raw in zip(left.column("shard").to_pylist(), left.column("told")):
-                raw = np.frombuffer(raw.as_py(), np.uint8)
+                raw = _loosened(raw.as_py())
                 a, b = at[shard], at[shard + 1]
                 count[by[a:b]] = _from_planes(raw, len(raw) // int(b - a))
             split = np.cumsum([len(g) for g in grams])[:-1]

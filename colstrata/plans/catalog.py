@@ -16,6 +16,7 @@ from ..functions.filters import Filter, all_of, is_degenerate, prune_values, to_
 from ..operators import embed, knn, postings, quantile, rows, vector_index
 from ..sources import check, tables
 from ..sources.shared import shared_folder
+from . import explain
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -586,6 +587,13 @@ def _(spark, sf):
     return tables.table(spark, sf, "events").select("value", "event_type").groupBy("event_type").applyInArrow(estimate, "event_type string, n bigint, q90 double, recent_q90 double")
 
 
+@_add("explain_scan", "SELECT * FROM (VALUES ('scan', 'l_orderkey, l_suppkey, l_quantity'), ('pushed', 'EqualTo(l_suppkey,7)'), ('pushed', 'GreaterThanOrEqual(l_quantity,5.0)'), ('pushed', 'IsNotNull(l_quantity)'), ('pushed', 'IsNotNull(l_suppkey)')) t(step, detail)")
+def _(spark, sf):
+    li = tables.table(spark, sf, "lineitem")
+    test = all_of([Filter("l_suppkey", values=(7,)), Filter("l_quantity", "range", low=5.0)], li.schema)
+    return explain.describe(li.where(test).select("l_orderkey")).where("step <> 'filter'")
+
+
 # -- text embedding surface
 
 

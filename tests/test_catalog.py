@@ -37,3 +37,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_data_preparation_folder(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "colstrata.llm", None)
+    monkeypatch.setitem(sys.modules, "colstrata.llm.queries", None)
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
+
+
+def test_explain(spark, sf):
+    from colstrata.plans import explain
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    found = [s for s, _ in explain.steps(li.where("l_quantity > 3").join(o.hint("merge"), li.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").count())]
+    assert found.count("scan") == 2 and "join" in found and "shuffle" in found and "pushed" in found
