@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -159,6 +159,14 @@ def _spelled(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
     return [raw[a * 4 : b * 4].decode("utf-32-le", "replace") for a, b in zip(s.tolist(), e.tolist())]
 
 
+def _strings(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    """The spans as an Arrow column, as _spelled() has them."""
+    raw = np.frombuffer(tk.gather(cps, s, e - s).tobytes().decode("utf-32-le", "replace").encode(), np.uint8)
+    heads = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    at = heads[np.concatenate([[0], np.cumsum(e - s)])]
+    return pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text") -> DataFrame:
     """h, unit, n: the distinct units of all texts, and in how many tasks each was met."""
 
@@ -176,8 +184,8 @@ def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text")
                     h, first = h[new], first[new]
                 if len(h):
                     # a shorter way round the shuffle; it may forget
-                    seen = np.union1d(seen, h) if len(seen) < 2_000_000 else h
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_spelled(cps, s[first], e[first]))], names=["h", "unit"])
+                    seen = np.insert(seen, np.searchsorted(seen, h), h) if len(seen) < 2_000_000 else h
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _strings(cps, s[first], e[first])], names=["h", "unit"])
 
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
     return picked.mapInArrow(lambda batches: tk.released(run(batches)), "h bigint, unit string").groupBy("h").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
@@ -226,16 +234,28 @@ def _merged(edges: Column, n: Column) -> Column:
     many = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["ends"].alias("ends"), x["inner"].alias("inner")))
     none = F.array().cast("array<struct<ends:bigint,inner:bigint>>")
 
+    def named(x: Column, use: Callable[[Column], Column]) -> Column:
+        """use(x), with x computed once: within a lambda, a column used twice is computed twice."""
+        return F.transform(F.array(x), use)[0]
+
     def step(acc: Column, _: Column) -> Column:
         m, rest = acc["m"], acc["rest"]
         best = F.get(F.filter(rest, lambda x: F.bit_count(m.bitwiseAND(x["inner"])) == 1), 0)["inner"]
-        left = m - m.bitwiseAND(F.coalesce(best, F.lit(0).cast("bigint")))
-        open_ = F.filter(rest, lambda x: (left.bitwiseAND(x["ends"]) == x["ends"]) & (left.bitwiseAND(x["inner"]) != 0))
-        return F.struct(left.alias("m"), F.when(best.isNull(), none).otherwise(open_).alias("rest"))
+
+        def after(gone: Column) -> Column:
+            def kept(left: Column) -> Column:
+                open_ = F.filter(rest, lambda x: (left.bitwiseAND(x["ends"]) == x["ends"]) & (left.bitwiseAND(x["inner"]) != 0))
+                return F.struct(left.alias("m"), F.when(gone == 0, none).otherwise(open_).alias("rest"))
+
+            return named(m - m.bitwiseAND(gone), kept)
+
+        # without an edge to merge, the rest of the steps has nothing to look at
+        done = F.struct(m.alias("m"), none.alias("rest"))
+        return F.when(F.size(rest) == 0, done).otherwise(named(F.coalesce(best, F.lit(0).cast("bigint")), after))
 
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
     bounds = F.aggregate(steps, F.struct(full.alias("m"), many.alias("rest")), step)["m"]
-    return F.transform(F.array(bounds), lambda m: F.filter(edges, lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0)))[0]
+    return named(bounds, lambda m: F.filter(edges, lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0)))
 
 
 def _viterbi(edges: Column, n: Column, low: float) -> Column:
