@@ -33,7 +33,7 @@ from .staging import rows_of, stage
 
 FIGURES = ("chars_per_token", "fallback_share", "token_evenness")
 _COLUMNS = (*FIGURES, "n_tokens", "words", "script")
-_BATCH = 2 << 20
+_BATCH = 1 << 19
 
 
 def _script(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as tk
+from . import vocab
 from .staging import rows_of, stage
 
 _GRAM = np.uint64((1 << 48) - 1)
@@ -104,6 +105,7 @@ def _sketch(docs: DataFrame, text: str, doc_id: str, n: int, hashes: int, full:
     picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(words).alias("h"), words.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
             buf, offsets = tk.flat(batch.column(2))
             for a, b in _slices(offsets):

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -32,7 +32,7 @@ from . import vocab
 from .staging import stage
 
 _SPACE = "▁"
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _BITS = 60
 
 
@@ -193,7 +193,9 @@ def distinct_units(docs: DataFrame, folder: str, name: str, text: str = "text")
 
 def piece_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """piece, id and score of the pieces that text can match."""
-    return spark.createDataFrame(pieces(folder, name).rows, "piece string, id int, score double")
+    piece, at, score = zip(*pieces(folder, name).rows)
+    # as Arrow it needs no Python worker, and so no second daemon in each executor
+    return spark.createDataFrame(pa.table({"piece": piece, "id": pa.array(at, pa.int32()), "score": score}))
 
 
 def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
@@ -221,7 +223,11 @@ def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
         bit(F.col("s")).bitwiseOR(bit(e)).alias("ends"),
         (bit(e) - bit(F.col("s") + 1)).alias("inner"),
     )
-    return joined.groupBy("h").agg(F.min("unit").alias("unit"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    # As a window, grouping sorts once; an aggregate would hold four sorters a task, of a
+    # page of memory each, as it falls back to sorting in both its halves. The first
+    # character is an edge of every unit, so its row stands for the unit.
+    edges = F.collect_list(edge).over(Window.partitionBy("h"))
+    return joined.withColumn("edges", edges).where("s = 0 AND len = 1").select("h", "unit", F.sort_array("edges").alias("edges"))
 
 
 def _merged(edges: Column, n: Column) -> Column:
@@ -310,14 +316,19 @@ def _frequent(units: DataFrame, most: int) -> DataFrame:
     return units.where(F.col("n") >= least)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in the least bytes that hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 class _Known:
     """The ids of units by hash, in flat arrays."""
 
     def __init__(self, keys: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
         by = np.argsort(keys)
-        self.keys, self.sizes = keys[by], sizes[by].astype(np.int32)
-        self.begin = (np.cumsum(sizes) - sizes)[by]
-        self.codes = codes.astype(np.uint16) if not len(codes) or codes.max() < 65_536 else codes
+        self.keys, self.sizes = keys[by], _narrow(sizes)[by]
+        self.begin = _narrow(np.cumsum(sizes) - sizes)[by]
+        self.codes = _narrow(codes)
 
     def encode(self, cps: np.ndarray, s: np.ndarray, e: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after the other, and the number of each."""
@@ -356,7 +367,7 @@ def encode_pieces(docs: DataFrame, folder: str = vocab.TOKENIZERS, name: str = "
     spark = docs.sparkSession
     picked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
     units = _frequent(stage(distinct_units(picked, folder, name, "t"), "units"), most_units)
-    parts = max(1, -(-units.count() // 40_000))
+    parts = max(1, -(-units.count() // 10_000))
     coded = stage(encode_units(units.select("h", "unit").repartition(parts, "h"), folder, name), "unit-ids").toArrow()
     ids = coded.column("ids").combine_chunks()
     some = len(coded) > 0

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from . import vocab
 from .jaccard import _binary, _bytes_of, _free, _grouped
 from .staging import stage
 
@@ -271,62 +272,67 @@ def _segments(docs: DataFrame, text: str, doc_id: str, length: int, run_words: i
         k = span - w
         return np.minimum(x[: len(x) - k], x[k:]) if k and len(x) > k else (x[:0] if k else x)
 
+    def segments(part: np.ndarray, off: np.ndarray, ids: np.ndarray, text_hash: np.ndarray) -> pa.RecordBatch | None:
+        """The segments of one slice of texts, by shard; what it works on goes before the next slice."""
+        s, e, doc = tk.words(part, off)
+        if len(s) < length:
+            return None
+        h = tk.hash_spans(part, s, e)
+        count = np.bincount(doc, minlength=len(off) - 1)
+        place = np.arange(len(s)) - (np.cumsum(count) - count)[doc]
+        g = np.zeros(len(h) - run_words + 1, np.uint64)
+        for k in range(run_words):
+            g = tk.mix(g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run_words + 1 + k])
+        spot = np.arange(len(g), dtype=np.uint64) & _PLACE
+        g &= ~_PLACE
+        left, right = sliding(g | spot), sliding(g | (_PLACE - spot))
+        win = np.flatnonzero(place[: len(left)] + length <= count[doc[: len(left)]])
+        if not len(win):
+            return None
+        value = left[win] >> np.uint64(24)
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (win[1:] != win[:-1] + 1)])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(win)) - 1
+        begin, size = win[head], win[tail] - win[head] + length
+        least = value[head]
+        several = (left[win[head]] & _PLACE) != _PLACE - (right[win[tail]] & _PLACE)
+        shard = (tk.mix(least) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        begin, size, least, several, shard = begin[order], size[order], least[order], several[order], shard[order]
+        symbols = (h % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+        data = tk.gather(symbols, begin, size)
+        check = tk.gather(((h >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16), begin, size)
+        row = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        ends = np.append(row, len(shard))
+        of = doc[begin]
+
+        def packed(x: np.ndarray) -> pa.Array:
+            return _binary(x, ends * x.itemsize)
+
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(shard[row].astype(np.int32)),
+                packed(ids[of]),
+                packed(text_hash[of]),
+                packed(place[begin].astype(np.int32)),
+                packed(size.astype(np.int32)),
+                packed(least),
+                packed(several.astype(np.uint8)),
+                _binary(data, np.concatenate([[0], np.cumsum(size)])[ends]),
+                _binary(check, np.concatenate([[0], np.cumsum(size)])[ends] * 2),
+            ],
+            names=["shard", "ids", "hashes", "places", "sizes", "least", "several", "symbols", "extra"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
             buf, offsets = tk.flat(batch.column(2))
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             text_hash = batch.column(1).to_numpy()
             for a, b in tk.slices(offsets, _SLICE):
-                part, off = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                s, e, doc = tk.words(part, off)
-                if len(s) < length:
-                    continue
-                h = tk.hash_spans(part, s, e)
-                count = np.bincount(doc, minlength=b - a)
-                place = np.arange(len(s)) - (np.cumsum(count) - count)[doc]
-                g = np.zeros(len(h) - run_words + 1, np.uint64)
-                for k in range(run_words):
-                    g = tk.mix(g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run_words + 1 + k])
-                spot = np.arange(len(g), dtype=np.uint64) & _PLACE
-                g &= ~_PLACE
-                left, right = sliding(g | spot), sliding(g | (_PLACE - spot))
-                win = np.flatnonzero(place[: len(left)] + length <= count[doc[: len(left)]])
-                if not len(win):
-                    continue
-                value = left[win] >> np.uint64(24)
-                new = np.concatenate([[True], (value[1:] != value[:-1]) | (win[1:] != win[:-1] + 1)])
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(win)) - 1
-                begin, size = win[head], win[tail] - win[head] + length
-                least = value[head]
-                several = (left[win[head]] & _PLACE) != _PLACE - (right[win[tail]] & _PLACE)
-                shard = (tk.mix(least) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                begin, size, least, several, shard = begin[order], size[order], least[order], several[order], shard[order]
-                symbols = (h % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-                data = tk.gather(symbols, begin, size)
-                check = tk.gather(((h >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16), begin, size)
-                row = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                ends = np.append(row, len(shard))
-                of = doc[begin] + a
-
-                def packed(x: np.ndarray) -> pa.Array:
-                    return _binary(x, ends * x.itemsize)
-
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard[row].astype(np.int32)),
-                        packed(ids[of]),
-                        packed(text_hash[of]),
-                        packed(place[begin].astype(np.int32)),
-                        packed(size.astype(np.int32)),
-                        packed(least),
-                        packed(several.astype(np.uint8)),
-                        _binary(data, np.concatenate([[0], np.cumsum(size)])[ends]),
-                        _binary(check, np.concatenate([[0], np.cumsum(size)])[ends] * 2),
-                    ],
-                    names=["shard", "ids", "hashes", "places", "sizes", "least", "several", "symbols", "extra"],
-                )
+                if (made := segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], text_hash[a:b])) is not None:
+                    yield made
 
     return picked.mapInArrow(lambda batches: tk.released(run(batches)), "shard int, ids binary, hashes binary, places binary, sizes binary, least binary, several binary, symbols binary, extra binary")
 

@@ -39,6 +39,13 @@ def piece_bpe(folder: str, name: str = "piece_bpe_32k.model"):
     return sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, name))
 
 
+@lru_cache(maxsize=2)
+def _byte_pieces(folder: str, name: str) -> frozenset[int]:
+    """The ids of the pieces that are single bytes."""
+    sp = piece_bpe(folder, name)
+    return frozenset(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+
+
 def _wide_space(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents that may hold white space beyond ASCII, where pieces can depend on each other."""
     n = len(offsets) - 1
@@ -107,8 +114,9 @@ def _memo(folder: str, name: str) -> PieceMemo:
 
 
 def forget() -> None:
-    """Give back what the memos of this worker hold, before work that has no use for them."""
-    _memo.cache_clear()
+    """Give back what the memos and encoders of this worker hold, before work that has no use for them."""
+    for kept in (_memo, byte_bpe, piece_bpe, _byte_pieces):
+        kept.cache_clear()
 
 
 def encode_bpe(buf: np.ndarray, offsets: np.ndarray, folder: str, name: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +157,7 @@ def piece_counts(buf: np.ndarray, offsets: np.ndarray, folder: str, name: str =
     if not len(s):
         return np.zeros(n), np.zeros(n)
     keys, first, which = np.unique(tk.hash_spans(buf, s, e), return_index=True, return_inverse=True)
-    byte_ids = frozenset(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+    byte_ids = _byte_pieces(folder, name)
 
     def encode(i):
         return [(len(c), sum(t in byte_ids for t in c)) for c in sp.encode(tk.strings(buf, s[first[i]], e[first[i]]), num_threads=1)]

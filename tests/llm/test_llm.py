@@ -455,6 +455,40 @@ def test_decoding_tells_what_differs(spark):
     assert {r["k"]: r["text"] for r in spm.decode_pieces(rows).collect()} == {1: "", 2: None, 3: ""}
 
 
+def test_lattice_sorts_once_and_starts_no_python(spark):
+    p = spm.pieces(vocab.TOKENIZERS, "piece_bpe_32k.model")
+    words = ["▁thing", "o", "ththonble", "▁▁▁x", "zé", "😀a", "a😀"]
+    units = spark.createDataFrame(list(enumerate(words)), "h bigint, unit string").repartition(1, "h")
+    table = spm.piece_table(spark, vocab.TOKENIZERS, "piece_bpe_32k.model")
+    folded = spm.lattice(units, table, p.longest)
+    rows = folded.collect()
+    assert sorted(r["h"] for r in rows) == list(range(len(words)))
+    for r in rows:
+        u = words[r["h"]]
+        spans = [(s, e) for s in range(len(u)) for e in range(s + 1, len(u) + 1) if e == s + 1 or u[s:e] in p.table]
+        assert r["unit"] == u
+        assert sorted((x["s"], x["e"], x["id"]) for x in r["edges"]) == sorted((s, e, p.table.get(u[s:e], (-1,))[0]) for s, e in spans)
+    # an aggregate of lists falls back to sorting in both halves, with two sorters in each
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan
+    # rows from Python lists run in workers of a second daemon, which stay in the executor
+    assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoders_are_given_back():
+    vocab.piece_bpe(vocab.TOKENIZERS)
+    vocab.byte_bpe(vocab.TOKENIZERS)
+    vocab.forget()
+    assert vocab.piece_bpe.cache_info().currsize == vocab.byte_bpe.cache_info().currsize == 0
+
+
+def test_known_ids_are_small():
+    sizes, codes = np.array([2, 1, 3]), np.array([7, 40_000, 5, 1, 2, 3], np.int32)
+    known = spm._Known(np.array([9, 3, 5], np.uint64), sizes, codes)
+    assert known.keys.tolist() == [3, 5, 9] and known.sizes.tolist() == [1, 3, 2] and known.begin.tolist() == [2, 3, 0]
+    assert known.sizes.itemsize == known.begin.itemsize == 1 and known.codes.itemsize == 2 and known.codes.tolist() == codes.tolist()
+
+
 def test_viterbi_fold(spark):
     p = spm.pieces(vocab.TOKENIZERS, "piece_bpe_32k.model")
     words = ["▁thing", "theand", "o", "ththonble", "▁▁▁x", "zé"]
