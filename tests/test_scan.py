@@ -2,9 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from colstrata.operators import knn
+from colstrata.operators import knn, scan
 
 
 def _table(spark, x, start=0):
@@ -47,3 +46,53 @@ def test_rabitq_keeps_what_lies_within_the_bounds_in_its_task(spark, metric):
     d[own | (est - wide > kth[:, None])] = np.inf
     want = {(i, int(j)) for i in range(400) for j in np.argsort(d[i], kind="stable")[:5]}
     assert {(r["query_id"], r["vec_id"]) for r in rows} == want
+
+
+def test_top_k_sends_no_more_than_k_rows_a_query_and_block(spark):
+    x = np.ones((300, 4), np.float32)
+    df = _table(spark, x).toDF("id", "v")
+    rows, most = _received(knn.top_k(df, df, 3, block_rows=150))
+    assert most <= 300 * 3 * 2
+    assert {(r["query_id"], r["vec_id"]) for r in rows} == {(i, j) for i in range(300) for j in [j for j in range(4) if j != i][:3]}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("kind", ["normal", "far", "grid", "small", "mixed"])
+def test_nearest_equals_brute_force(monkeypatch, metric, kind):
+    monkeypatch.setattr(scan, "_FIRST", 64)
+    monkeypatch.setattr(scan, "_TILE", 128)
+    monkeypatch.setattr(scan, "_ROWS", 100)
+    monkeypatch.setattr(scan, "_PAIRS", 1000)
+    rng = np.random.default_rng(5)
+    x = {"normal": lambda: rng.normal(size=(700, 12)), "far": lambda: rng.normal(size=(700, 12)) + 1000, "grid": lambda: rng.integers(-1, 2, (700, 6)), "small": lambda: rng.normal(size=(5, 3)), "mixed": lambda: rng.normal(size=(700, 8)) * 10.0 ** rng.integers(-6, 4, (700, 1))}[kind]().astype(float)
+    n = len(x)
+    for owner in (np.arange(n), np.arange(n) // 3, np.sort(rng.integers(0, 12, n)), np.zeros(n, int)):
+        counts = lambda r, c: owner[r] != owner[c]
+        r, c, d = scan.nearest(scan.ranking(x, x, metric, 4, counts), n, owner, 5)
+        got = {}
+        for i, j, z in zip(r.tolist(), c.tolist(), d.tolist()):
+            got.setdefault(i, []).append((z, int(owner[j])))
+        y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) if metric == "cosine" else x
+        for i in range(0, n, 7):
+            full = np.round(((x - x[i]) ** 2).sum(1) if metric == "l2" else 1 - np.einsum("ij,j->i", y, y[i]), 4) + 0.0
+            best = {}
+            for z, o in zip(full.tolist(), owner.tolist()):
+                if o != owner[i]:
+                    best[o] = min(z, best.get(o, np.inf))
+            want = sorted((z, o) for o, z in best.items())[:5]
+            mine = sorted(got.get(i, []))
+            if kind in ("grid", "small", "normal"):
+                assert mine == want
+            else:
+                # a last bit may round another way where distances are large
+                assert np.allclose([z for z, _ in mine], [z for z, _ in want], rtol=1e-12, atol=2e-4)
+
+
+def test_top_k_with_odd_vectors(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    got = sorted(map(tuple, knn.top_k(df, df, 2).collect()))
+    assert got == [(1, 2, 1.0), (1, 5, 4.0), (2, 1, 1.0), (2, 5, 5.0), (5, 1, 4.0), (5, 2, 5.0)]
+    with pytest.raises(Exception, match="one length"):
+        bad = spark.createDataFrame([(1, [0.0]), (2, [1.0, 0.0])], "id bigint, v array<float>")
+        knn.top_k(bad, bad, 1).collect()
