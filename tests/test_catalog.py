@@ -56,3 +56,10 @@ def test_explain(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     found = [s for s, _ in explain.steps(li.where("l_quantity > 3").join(o.hint("merge"), li.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").count())]
     assert found.count("scan") == 2 and "join" in found and "shuffle" in found and "pushed" in found
+
+
+def test_plan_equals_its_sql_over_many_vectors(spark, tmp_path):
+    spark.range(150_000).selectExpr("id AS vec_id", "array(cast(id AS float)) AS embedding", "cast(id % 10 AS int) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert _rows(QUERIES["knn_plan"](spark, str(tmp_path)).toPandas()) == _rows(c.execute(SQL["knn_plan"]).df())
