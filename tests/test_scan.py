@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colstrata.operators import knn, scan
+from colstrata.operators import knn, quantile, scan, vector_index
 
 
 def _table(spark, x, start=0):
@@ -96,3 +96,42 @@ def test_top_k_with_odd_vectors(spark):
     with pytest.raises(Exception, match="one length"):
         bad = spark.createDataFrame([(1, [0.0]), (2, [1.0, 0.0])], "id bigint, v array<float>")
         knn.top_k(bad, bad, 1).collect()
+
+
+def test_discoveries_answer_as_one_by_one():
+    rng = np.random.default_rng(2)
+    for ef, p, window in ((64, 0.14, 128), (900, 0.2, 7)):
+        many, one = quantile.Discoveries(40, ef, p, window), [quantile.Discovery(ef, p, window) for _ in range(40)]
+        for _ in range(300):
+            rows = np.flatnonzero(rng.random(40) < 0.7)
+            found, looked_at = rng.integers(0, 20, len(rows)), rng.integers(0, 40, len(rows))
+            assert many.done(rows, found, looked_at).tolist() == [one[r].done(int(f), int(n)) for r, f, n in zip(rows, found, looked_at)]
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_index_search_sends_k_rows_a_query_for_all_shards_of_a_task(spark, tmp_path, monkeypatch, filtered):
+    monkeypatch.setattr(scan, "cores", lambda df: 1)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (900, 6)).astype(np.float32)
+    df = _table(spark, x)
+    path = f"file://{tmp_path}/index"
+    vector_index.write(df, path, "l2", shard_rows=30)
+    iv = df.toDF("id", "v")
+    among = df.where("vec_id % 3 > 0").select("vec_id") if filtered else None
+    # the beam is as wide as a shard, so all shards are scanned
+    rows, most = _received(vector_index.search(spark, path, iv, 5, ef=100, among=among, same_set=True, block_rows=300))
+    data = iv.where("id % 3 > 0") if filtered else iv
+    assert sorted((r["query_id"], r["vec_id"], r["dist"]) for r in rows) == sorted(map(tuple, knn.top_k(iv, data, 5).collect()))
+    assert {r["way"] for r in rows} == {"exact"} and most <= 900 * 5 * 3
+
+
+def test_index_search_by_graphs_is_the_same_in_any_bundles(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = _table(spark, rng.normal(size=(1200, 8)).astype(np.float32))
+    path = f"file://{tmp_path}/index"
+    vector_index.write(df, path, "l2", shard_rows=300)
+    found = []
+    for n in (1, 100):
+        monkeypatch.setattr(scan, "cores", lambda df, n=n: n)
+        found.append(sorted(map(tuple, vector_index.search(spark, path, df.toDF("id", "v"), 12, ef=14, early=True, same_set=True, block_rows=500).collect())))
+    assert found[0] == found[1] and len(found[0]) == 1200 * 12 and {r[4] for r in found[0]} == {"graph"}
